@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scorebook import constants as k
 from scorebook.functions.rates import count_where, flag, ratio, rounded
+from scorebook.functions.timeline import shared
 
 
 def _selected(cards: DataFrame, season: int | None, team: str | None) -> DataFrame:
@@ -141,6 +142,7 @@ def career_summary(
     Teams and seasons are distinct before they are listed, so a list holds one
     entry per side or season and never one per card.
     """
+    attack, defence = shared(attack), shared(defence)
     seen = _appearances(attack, defence)
     matches = active_actors(attack, defence, min_matches)
     teams = seen.select("player", "team").where(F.col("team").isNotNull()).distinct().groupBy(

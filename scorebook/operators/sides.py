@@ -321,7 +321,7 @@ def season_pivot(contests: DataFrame, teams: Sequence[str], digits: int | None =
     return (
         long_form(contests).where(F.col("team").isin(*teams))
         .groupBy("season").pivot("team", list(teams))
-        .agg(rounded(ratio(F.sum("won"), F.count("*"), 100), digits))
+        .agg(rounded(ratio(F.sum("won"), F.count("won"), 100), digits))
     )
 
 
