@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorebook.operators import actors, derive, maintain, places, quality, reports, sides
+from scorebook.operators import (
+    actors,
+    derive,
+    history,
+    inplay,
+    maintain,
+    places,
+    quality,
+    reports,
+    sides,
+    standings,
+)
+from scorebook.plans import qualification
 from scorebook.sources import testdata as td
 from scorebook.sources import warehouse as wh
 
@@ -552,3 +564,244 @@ def _q17_rejected(spark, sf_dir):
     return quality.split_rejected(dirty_contests(spark, sf_dir), _issues(spark, sf_dir))[1].select(
         "match_id", "match_key"
     )
+
+
+# Standings -------------------------------------------------------------------
+
+for _name, _op in {
+    "r1_standings": standings.standings,
+    "r3_remaining_fixtures": lambda c: standings.remaining_fixtures(c).select(
+        "match_id", "season", "team1", "team2", "venue"
+    ),
+    "r6_remaining_per_side": lambda c: standings.remaining_per_side(c, standings.standings(c)),
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, op=_op: op(td.contests(spark, sf_dir))
+
+
+@register("r2_net_run_rate")
+def _r2(spark, sf_dir):
+    league = td.contests(spark, sf_dir)
+    return standings.with_net_run_rate(
+        standings.standings(league), periods(spark, sf_dir, False), league, digits=None
+    )
+
+
+@register("r5_qualification_odds")
+def _r5(spark, sf_dir):
+    return qualification.qualification_odds(
+        td.contests(spark, sf_dir), periods(spark, sf_dir, False), simulations=500
+    )
+
+
+@register("r7_what_if")
+def _r7(spark, sf_dir):
+    league = td.contests(spark, sf_dir)
+    forced = standings.remaining_fixtures(league).where(_id(2) == 0).select(
+        "match_id", F.col("team1").alias("winner")
+    )
+    return qualification.what_if(
+        league, periods(spark, sf_dir, False), forced, simulations=500
+    )
+
+
+# History ---------------------------------------------------------------------
+
+
+def base(spark, sf_dir):
+    return history.contest_base(td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir))
+
+
+def full_features(spark, sf_dir, include_incomplete=False):
+    return history.contest_features(
+        td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir), attack(spark, sf_dir, False),
+        defence(spark, sf_dir, False), td.rosters(spark, sf_dir), include_incomplete,
+    )
+
+
+for _name, _columns in {
+    "f1_career_win_rate": ["career_win_rate"],
+    "f2_form": ["form_short", "form_long"],
+    "f3_run_averages": ["avg_runs_scored", "avg_runs_conceded"],
+    "f4_win_streak": ["win_streak"],
+    "f6_side_rate_at_place": ["venue_win_rate"],
+    "f11_rest_days": ["rest_days"],
+    "f12_season_points": ["season_points", "season_matches"],
+}.items():
+
+    def _side_feature(spark, sf_dir, columns=_columns):
+        rows = base(spark, sf_dir)
+        state = history.side_state(history.side_rows(rows))
+        done = rows.where("done").select("match_id")
+        return state.join(done, "match_id", "left_semi").select("match_id", "team", *columns)
+
+    QUERIES[_name] = _side_feature
+
+for _name, _columns in {
+    "f5_head_to_head_rate": ["team1_h2h_win_rate", "h2h_matches"],
+    "f7_place_levels": ["venue_avg_first_innings", "venue_chase_win_rate"],
+    "f9_league_recent_level": ["league_recent_avg_score"],
+    "f10_place_recent_level": ["venue_recent_avg_score"],
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, columns=_columns: history.place_and_pair_state(
+        history.shared(base(spark, sf_dir))
+    ).select("match_id", *columns)
+
+
+@register("f8_side_score_at_place")
+def _f8(spark, sf_dir):
+    return history.contest_features(
+        td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir), include_incomplete=True
+    ).select("match_id", "team1_venue_avg_score", "team2_venue_avg_score")
+
+
+@register("f13_career_before")
+def _f13(spark, sf_dir):
+    return history.career_before(
+        base(spark, sf_dir), attack(spark, sf_dir, False), defence(spark, sf_dir, False)
+    )
+
+
+def _six_digits(df):
+    """Squad means are sums of doubles; both engines show six digits of them."""
+    tied = [c for c in df.columns if "xi_" in c and "experience" not in c and "has" not in c]
+    return df.withColumns({c: F.round(c, 6) for c in tied})
+
+
+@register("f14_squad_strength")
+def _f14(spark, sf_dir):
+    rows = history.shared(base(spark, sf_dir))
+    lineups = td.rosters(spark, sf_dir)
+    state = history.shared(history.side_state(history.side_rows(rows, lineups)))
+    return _six_digits(
+        history.squad_strength(
+            rows, state, attack(spark, sf_dir, False), defence(spark, sf_dir, False), lineups
+        )
+    )
+
+
+@register("f15_contest_features")
+def _f15(spark, sf_dir):
+    return _six_digits(full_features(spark, sf_dir, True)).drop(
+        "winner", "first_batting_team", "target_team1_wins", "first_innings_runs",
+        "second_innings_runs",
+    )
+
+
+@register("f16_targets")
+def _f16(spark, sf_dir):
+    return history.contest_features(
+        td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir), include_incomplete=True
+    ).select(
+        "match_id", "winner", "first_batting_team", "target_team1_wins", "first_innings_runs",
+        "second_innings_runs",
+    )
+
+
+@register("f17_score_features")
+def _f17(spark, sf_dir):
+    return _six_digits(history.score_features(full_features(spark, sf_dir)))
+
+
+@register("f18_mirror")
+def _f18(spark, sf_dir):
+    plain = history.contest_features(td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir))
+    return history.mirror(plain).select(
+        "match_id", "team1", "team2", "team1_career_win_rate", "team2_rest_days", "form_short_diff",
+        "rest_days_diff", "team1_is_home", "toss_winner_is_team1", "team1_h2h_win_rate",
+        "target_team1_wins", "is_mirrored",
+    )
+
+
+def requests(spark, sf_dir):
+    """Hypothetical return fixtures: every contest with the sides swapped."""
+    return td.headers(spark, sf_dir).select(
+        F.col("match_id").alias("request_id"), F.col("team2").alias("team1"),
+        F.col("team1").alias("team2"), "venue", "season",
+        F.date_add("match_date", 3).alias("match_date"), "toss_winner", "toss_decision",
+        "is_playoff", "is_neutral_venue",
+    )
+
+
+@register("f19_featurise_requests")
+def _f19(spark, sf_dir):
+    return history.featurise_requests(
+        requests(spark, sf_dir), td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir),
+        attack(spark, sf_dir, False), defence(spark, sf_dir, False), td.rosters(spark, sf_dir),
+    )
+
+
+@register("f20_drivers")
+def _f20(spark, sf_dir):
+    return history.drivers(
+        history.contest_features(td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir)),
+        digits=None,
+    )
+
+
+# In play and award -----------------------------------------------------------
+
+
+def chases(spark, sf_dir, stride=3):
+    return inplay.chase_features(
+        td.events(spark, sf_dir), td.contests(spark, sf_dir), stride, digits=None
+    )
+
+
+@register("c1_chase_features")
+def _c1(spark, sf_dir):
+    return chases(spark, sf_dir)
+
+
+def live_states(spark, sf_dir):
+    return chases(spark, sf_dir).where(F.col("ball_seq") % 10 == 1).select(
+        "match_id", "ball_seq", "batting_team", "bowling_team", "venue", "target", "current_runs",
+        "wickets_fallen", "balls_bowled", "runs_last_5_overs", "wickets_last_5_overs",
+    )
+
+
+@register("c2_chase_rows")
+def _c2(spark, sf_dir):
+    return inplay.chase_rows(live_states(spark, sf_dir), digits=None)
+
+
+def awards(spark, sf_dir):
+    return inplay.award_features(
+        attack(spark, sf_dir, False), defence(spark, sf_dir, False),
+        td.contests(spark, sf_dir, award=True),
+    )
+
+
+@register("c3_award_features")
+def _c3(spark, sf_dir):
+    rows = awards(spark, sf_dir)
+    return rows.select(*[c for c in rows.columns if not c.endswith(("_rank", "_share"))])
+
+
+@register("c4_within_contest")
+def _c4(spark, sf_dir):
+    rows = awards(spark, sf_dir)
+    return rows.select(
+        "match_id", "player", "team",
+        *[c for c in rows.columns if c.endswith("_rank")],
+        *[F.round(c, 6).alias(c) for c in rows.columns if c.endswith("_share")],
+    )
+
+
+@register("c5_terminal_overrides")
+def _c5(spark, sf_dir):
+    totals = periods(spark, sf_dir, False)
+    first = totals.where("innings_no = 1").select("match_id", (F.col("runs") + 1).alias("target"))
+    second = totals.where("innings_no = 2").select(
+        "match_id", F.col("runs").alias("current_runs"), F.col("wickets").alias("wickets_fallen"),
+        F.col("balls").alias("balls_bowled"), F.lit(0.5).alias("probability"),
+    )
+    return inplay.terminal_overrides(second.join(first, "match_id"))
+
+
+@register("c6_sensitivity_rows")
+def _c6(spark, sf_dir):
+    return inplay.sensitivity_rows(live_states(spark, sf_dir), digits=None).select(
+        "match_id", "ball_seq", "current_runs", "target", "balls_remaining", "runs_required",
+        "current_run_rate", "required_run_rate", "run_rate_pressure", "chase_progress",
+        "is_powerplay", "is_death",
+    )

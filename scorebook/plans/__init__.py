@@ -1 +1 @@
-
+"""Jobs that combine several operators: odds, model training and scoring."""

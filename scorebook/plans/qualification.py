@@ -1,0 +1,137 @@
+"""Qualification odds by repeated draws, as one distributed job.
+
+A draw depends only on (draw number, fixture, seed) through a hash, so results do
+not depend on partitioning, task retries or lost executors.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from scorebook import constants as k
+from scorebook.operators.standings import (
+    TEAM_SEASON,
+    remaining_fixtures,
+    remaining_per_side,
+    standings,
+    with_forced_results,
+    with_net_run_rate,
+)
+
+# Draws handled by one shuffle partition key.
+DRAWS_PER_BLOCK = 250
+NRR_WEIGHT = 1e-3
+_MANTISSA = 1 << 53
+
+
+def uniform(*keys: Column) -> Column:
+    """Hash-based uniform number in [0, 1)."""
+    return F.pmod(F.xxhash64(*keys), F.lit(_MANTISSA)).cast("double") / F.lit(float(_MANTISSA))
+
+
+def _draws(df: DataFrame, simulations: int) -> DataFrame:
+    """Repeat every row once per draw. Blocks of draws are spread over tasks first,
+    so a short fixture list still uses the whole cluster, and everything after
+    this groups by (season, block, ...) and needs no further shuffle."""
+    blocks = (simulations + DRAWS_PER_BLOCK - 1) // DRAWS_PER_BLOCK
+    first = F.col("block") * DRAWS_PER_BLOCK
+    last = F.least(first + DRAWS_PER_BLOCK, F.lit(simulations)) - 1
+    return (
+        df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .repartition("season", "block")
+        .withColumn("draw", F.explode(F.sequence(first, last)))
+    )
+
+
+def qualification_odds(
+    contests: DataFrame,
+    periods: DataFrame,
+    season: int | None = None,
+    simulations: int = 5000,
+    seed: int = 42,
+    spots: int = k.QUALIFYING_SPOTS,
+    probabilities: DataFrame | None = None,
+    points_win: int = k.POINTS_WIN,
+    digits: int | None = 2,
+) -> DataFrame:
+    """Share of draws in which each side finishes in the first ``spots``.
+
+    ``probabilities`` has match_id and team1_win_probability; a fixture without
+    one is a coin toss. A season with nothing left to play reports its final
+    table as 100 / 0.
+    """
+    table = with_net_run_rate(standings(contests, season), periods, contests, season)
+    fixtures = (
+        remaining_fixtures(contests, season)
+        .where(F.col("team1").isNotNull() & F.col("team2").isNotNull())
+        .select("season", "match_id", "team1", "team2")
+    )
+    # A season without a completed league contest has no table and no projection.
+    fixtures = fixtures.join(table.select("season").distinct(), "season", "left_semi")
+    if probabilities is not None:
+        fixtures = fixtures.join(
+            probabilities.select("match_id", "team1_win_probability"), "match_id", "left"
+        ).withColumn("p", F.coalesce("team1_win_probability", F.lit(0.5)))
+    else:
+        fixtures = fixtures.withColumn("p", F.lit(0.5))
+    sides = remaining_per_side(contests, table, season, points_win).join(
+        table.select("season").distinct(), "season", "left_semi"
+    )
+    base = sides.join(
+        table.select(*TEAM_SEASON, "net_run_rate", "position"), TEAM_SEASON, "left"
+    ).withColumn("net_run_rate", F.coalesce("net_run_rate", F.lit(0.0)))
+    open_seasons = fixtures.select("season").distinct()
+
+    nothing = F.lit(None).cast("string")
+    start = base.join(open_seasons, "season", "left_semi").select(
+        "season", F.lit(None).cast("long").alias("match_id"), F.col("team").alias("team1"),
+        nothing.alias("team2"), F.lit(1.0).alias("p"), F.col("current_points").alias("points"),
+        (F.col("net_run_rate") * NRR_WEIGHT).alias("offset"),
+    )
+    to_play = fixtures.select(
+        "season", "match_id", "team1", "team2", "p",
+        F.lit(points_win).cast("long").alias("points"), F.lit(0.0).alias("offset"),
+    )
+    first_wins = F.col("match_id").isNull() | (
+        uniform(F.col("draw"), F.col("match_id"), F.lit(seed)) < F.col("p")
+    )
+    totals = (
+        _draws(start.unionByName(to_play), simulations)
+        .withColumn("team", F.when(first_wins, F.col("team1")).otherwise(F.col("team2")))
+        .groupBy("season", "block", "draw", "team")
+        .agg(F.sum("points").alias("points"), F.sum("offset").alias("offset"))
+    )
+    # Bounded by the number of sides in a season.
+    ranking = Window.partitionBy("season", "block", "draw").orderBy(
+        F.desc(F.col("points") + F.col("offset")), "team"
+    )
+    outcome = (
+        totals.withColumn("place", F.row_number().over(ranking))
+        .groupBy(*TEAM_SEASON)
+        .agg(
+            F.sum(F.when(F.col("place") <= spots, 1).otherwise(0)).alias("qualified"),
+            F.sum("place").alias("places"),
+        )
+    )
+
+    def show(value: Column) -> Column:
+        return value if digits is None else F.bround(value, digits)
+
+    finished = F.when(F.col("position") <= spots, F.lit(100.0)).otherwise(F.lit(0.0))
+    return base.join(outcome, TEAM_SEASON, "left").select(
+        *TEAM_SEASON, "current_points", "net_run_rate", "matches_played", "matches_remaining",
+        "max_possible_points",
+        F.when(F.col("qualified").isNull(), finished)
+        .otherwise(show(F.col("qualified") * 100 / F.lit(simulations))).alias("qualification_pct"),
+        F.when(F.col("qualified").isNotNull(), show(F.col("places") / F.lit(simulations))).alias(
+            "expected_position"
+        ),
+    )
+
+
+def what_if(
+    contests: DataFrame, periods: DataFrame, forced: DataFrame, **options
+) -> DataFrame:
+    """Odds with some remaining fixtures decided by hand."""
+    return qualification_odds(with_forced_results(contests, forced), periods, **options)

@@ -10,6 +10,8 @@ bounded by the key itself and all of them share one shuffle on ``match_id``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -351,8 +353,6 @@ def warehouse(spark: SparkSession, sf_dir: str):
 
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     side = nation.where(F.col("n_nationkey") < 10)
-    stream = events(spark, sf_dir)
-    head = contests(spark, sf_dir, award=True)
 
     def keyed(df: DataFrame, sides: dict[str, str], actors: dict[str, str]) -> DataFrame:
         df = df.withColumns(
@@ -363,45 +363,63 @@ def warehouse(spark: SparkSession, sf_dir: str):
         )
         return df.drop(*sides, *actors, "season", "match_date")
 
-    order = Window.partitionBy("match_id", "innings_no").orderBy("ball_seq")
-    roles = (
-        "team1", "team2", "home_team", "away_team", "toss_winner", "first_batting_team",
-        "second_batting_team", "winner",
-    )
-    return Warehouse(
-        sides=side.select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("name")),
-        places=nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+    def cards(derived: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return keyed(
+            derived(events(spark, sf_dir)), {"team": "team_id"}, {"player": "player_id"}
+        )
+
+    def stored_contests() -> DataFrame:
+        roles = (
+            "team1", "team2", "home_team", "away_team", "toss_winner", "first_batting_team",
+            "second_batting_team", "winner",
+        )
+        return contests(spark, sf_dir, award=True).withColumns(
+            {
+                **{f"{role}_id": _side_id(F.col(role)) for role in roles},
+                "venue_id": _side_id(F.col("venue")),
+                "player_of_match_id": _actor_id(F.col("player_of_match")),
+            }
+        ).withColumnRenamed("match_id", "id").drop(*roles, "venue", "player_of_match")
+
+    def stored_events() -> DataFrame:
+        order = Window.partitionBy("match_id", "innings_no").orderBy("ball_seq")
+        return keyed(
+            events(spark, sf_dir)
+            .withColumn("cumulative_runs", F.sum("total_runs").over(order))
+            .withColumn("cumulative_wickets", F.sum(F.col("is_wicket").cast("int")).over(order)),
+            {"batting_team": "batting_team_id", "bowling_team": "bowling_team_id"},
+            {"batter": "batter_id", "bowler": "bowler_id"},
+        ).drop("non_striker", "dismissed")
+
+    readers: dict[str, Callable[[], DataFrame]] = {
+        "sides": lambda: side.select(
+            (F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("name")
+        ),
+        "places": lambda: nation.join(region, nation.n_regionkey == region.r_regionkey).select(
             (F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("name"),
             F.col("r_name").alias("city"),
         ),
-        actors=side.select("n_nationkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("n")).select(
+        "actors": lambda: side.select(
+            "n_nationkey", "n_name", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("n")
+        ).select(
             (F.col("n_nationkey") * 11 + F.col("n") + 1).cast("long").alias("id"),
             F.concat("n_name", F.lit("_P"), F.col("n").cast("string")).alias("name"),
         ),
-        contests=head.withColumns(
-            {
-                **{f"{role}_id": _side_id(F.col(role)) for role in roles},
-                "venue_id": F.regexp_extract("venue", "^NATION_([0-9]+)$", 1).try_cast("long") + 1,
-                "player_of_match_id": _actor_id(F.col("player_of_match")),
-            }
-        ).withColumnRenamed("match_id", "id").drop(*roles, "venue", "player_of_match"),
-        periods=keyed(
-            derive.period_totals(stream),
+        "contests": stored_contests,
+        "periods": lambda: keyed(
+            derive.period_totals(events(spark, sf_dir)),
             {"batting_team": "batting_team_id", "bowling_team": "bowling_team_id"}, {},
         ),
-        attack_cards=keyed(derive.attack_cards(stream), {"team": "team_id"}, {"player": "player_id"}),
-        defence_cards=keyed(derive.defence_cards(stream), {"team": "team_id"}, {"player": "player_id"}),
-        dismissals=keyed(derive.dismissals(stream), {"team": "team_id"}, {"player": "player_id"}),
-        stands=keyed(
-            derive.stands(stream), {"team": "team_id"},
+        "attack_cards": lambda: cards(derive.attack_cards),
+        "defence_cards": lambda: cards(derive.defence_cards),
+        "dismissals": lambda: cards(derive.dismissals),
+        "stands": lambda: keyed(
+            derive.stands(events(spark, sf_dir)), {"team": "team_id"},
             {"striker": "striker_id", "non_striker": "non_striker_id"},
         ),
-        events=keyed(
-            stream.withColumn("cumulative_runs", F.sum("total_runs").over(order)).withColumn(
-                "cumulative_wickets", F.sum(F.col("is_wicket").cast("int")).over(order)
-            ),
-            {"batting_team": "batting_team_id", "bowling_team": "bowling_team_id"},
-            {"batter": "batter_id", "bowler": "bowler_id"},
-        ).drop("non_striker", "dismissed"),
-        rosters=keyed(rosters(spark, sf_dir), {"team": "team_id"}, {"player": "player_id"}),
-    )
+        "events": stored_events,
+        "rosters": lambda: keyed(
+            rosters(spark, sf_dir), {"team": "team_id"}, {"player": "player_id"}
+        ),
+    }
+    return Warehouse(lambda name: readers[name]())

@@ -8,8 +8,7 @@ applied before the joins and a role is joined only when its column is asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,32 +17,40 @@ from scorebook import schemas
 from scorebook.functions.rates import count_where
 
 
-@dataclass(frozen=True)
+WAREHOUSE_TABLES = (
+    "sides", "places", "actors", "contests", "periods", "attack_cards", "defence_cards",
+    "dismissals", "stands", "events", "rosters",
+)
+
+
 class Warehouse:
-    """The stored tables, each a DataFrame with the schema of ``schemas.TABLES``."""
-
-    sides: DataFrame
-    places: DataFrame
-    actors: DataFrame
-    contests: DataFrame
-    periods: DataFrame
-    attack_cards: DataFrame
-    defence_cards: DataFrame
-    dismissals: DataFrame
-    stands: DataFrame
-    events: DataFrame
-    rosters: DataFrame
+    """The stored tables, each a DataFrame with the schema of ``schemas.TABLES``.
+
+    A table is opened when it is first used, so a read that touches three tables
+    plans three scans.
+    """
+
+    def __init__(self, open_table: Callable[[str], DataFrame]) -> None:
+        self._open = open_table
+        self._tables: dict[str, DataFrame] = {}
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> Warehouse:
         """Read a warehouse written by :func:`create_tables` and the load jobs."""
         return cls(
-            **{
-                name: spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
-                for name in cls.__dataclass_fields__
-            }
+            lambda name: spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
         )
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in WAREHOUSE_TABLES:
+            raise AttributeError(name)
+        if name not in self._tables:
+            self._tables[name] = self._open(name)
+        return self._tables[name]
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in WAREHOUSE_TABLES}
+
 
 def create_tables(spark: SparkSession, root: str, drop_existing: bool = False) -> list[str]:
     """Write every table empty with its schema; existing ones are kept unless asked."""
@@ -226,8 +233,8 @@ def load_dismissals(wh: Warehouse) -> DataFrame:
 def table_counts(wh: Warehouse) -> DataFrame:
     """Rows per table and completed contests, in one job."""
     out = None
-    for name in Warehouse.__dataclass_fields__:
-        frame = getattr(wh, name).agg(F.count("*").alias("rows")).select(
+    for name, table in wh.tables().items():
+        frame = table.agg(F.count("*").alias("rows")).select(
             F.lit(name).alias("table_name"), "rows"
         )
         out = frame if out is None else out.unionByName(frame)
@@ -240,6 +247,3 @@ def table_counts(wh: Warehouse) -> DataFrame:
 def season_range(contests: DataFrame) -> DataFrame:
     return contests.agg(F.min("season").alias("first_season"), F.max("season").alias("last_season"))
 
-
-def tables_of(wh: Warehouse) -> dict[str, DataFrame]:
-    return {name: getattr(wh, name) for name in Warehouse.__dataclass_fields__}
