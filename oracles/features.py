@@ -123,7 +123,7 @@ SELECT b.match_id, b.match_key, b.match_date, b.team1, b.team2, b.venue, b.toss_
     ) + """,
   CASE WHEN s1.xi_batting_average IS NOT NULL AND s2.xi_batting_average IS NOT NULL THEN 1 ELSE 0 END AS has_xi_data,
   hpp.* EXCLUDE (match_id), coalesce(s1.own_venue_score, venue_avg_first_innings) AS team1_venue_avg_score, coalesce(s2.own_venue_score, venue_avg_first_innings) AS team2_venue_avg_score,
-  done AS is_completed, winner, first_batting_team, CASE WHEN done THEN CASE WHEN winner = team1 THEN 1 ELSE 0 END END AS target_team1_wins,
+  b.done AS is_completed, winner, first_batting_team, CASE WHEN b.done THEN CASE WHEN winner = team1 THEN 1 ELSE 0 END END AS target_team1_wins,
   r1 AS first_innings_runs, r2 AS second_innings_runs
 FROM hb b JOIN hpp USING (match_id) JOIN hx s1 ON s1.match_id = b.match_id AND s1.slot = 1 JOIN hx s2 ON s2.match_id = b.match_id AND s2.slot = 2""",
     # In play
@@ -234,5 +234,5 @@ SELECT match_id, current_runs, target, wickets_fallen, balls_bowled, CASE WHEN c
 FROM (SELECT match_id, CAST(runs2 AS BIGINT) AS current_runs, CAST(runs1 + 1 AS BIGINT) AS target, wickets AS wickets_fallen, balls AS balls_bowled FROM tot JOIN per0 USING (match_id) WHERE innings_no = 2)""",
     "c6_sensitivity_rows": f"""
 SELECT match_id, ball_seq, current_runs, target, {state().split(' AS wickets_in_hand, ')[1]} FROM (
-  SELECT DISTINCT * REPLACE (least(current_runs + x, target - 1) AS current_runs) FROM {LIVE}, (SELECT unnest(range(0, 61, 5)) AS x))""",
+  SELECT DISTINCT * EXCLUDE (x) REPLACE (least(current_runs + x, target - 1) AS current_runs) FROM {LIVE}, (SELECT unnest(range(0, 61, 5)) AS x))""",
 }

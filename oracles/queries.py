@@ -611,10 +611,19 @@ def base(spark, sf_dir):
     return history.contest_base(td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir))
 
 
+def card_tables(spark, sf_dir):
+    """Cards and rosters of one event stream, which is kept because all three and
+    the state before every contest read them."""
+    stream = history.shared(td.events(spark, sf_dir))
+    return (
+        derive.attack_cards(stream), derive.defence_cards(stream), td.rosters(spark, sf_dir, stream)
+    )
+
+
 def full_features(spark, sf_dir, include_incomplete=False):
     return history.contest_features(
-        td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir), attack(spark, sf_dir, False),
-        defence(spark, sf_dir, False), td.rosters(spark, sf_dir), include_incomplete,
+        td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir), *card_tables(spark, sf_dir),
+        include_incomplete,
     )
 
 
@@ -670,13 +679,9 @@ def _six_digits(df):
 @register("f14_squad_strength")
 def _f14(spark, sf_dir):
     rows = history.shared(base(spark, sf_dir))
-    lineups = td.rosters(spark, sf_dir)
+    cards, spells, lineups = card_tables(spark, sf_dir)
     state = history.shared(history.side_state(history.side_rows(rows, lineups)))
-    return _six_digits(
-        history.squad_strength(
-            rows, state, attack(spark, sf_dir, False), defence(spark, sf_dir, False), lineups
-        )
-    )
+    return _six_digits(history.squad_strength(rows, state, cards, spells, lineups))
 
 
 @register("f15_contest_features")
@@ -726,7 +731,7 @@ def requests(spark, sf_dir):
 def _f19(spark, sf_dir):
     return history.featurise_requests(
         requests(spark, sf_dir), td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir),
-        attack(spark, sf_dir, False), defence(spark, sf_dir, False), td.rosters(spark, sf_dir),
+        *card_tables(spark, sf_dir),
     )
 
 

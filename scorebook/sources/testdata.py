@@ -304,10 +304,11 @@ def contests(spark: SparkSession, sf_dir: str, award: bool = False) -> DataFrame
     )
 
 
-def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rosters(spark: SparkSession, sf_dir: str, stream: DataFrame | None = None) -> DataFrame:
     """Distinct batters and bowlers per contest and side; some contests published
     no roster, which is what the last-known-roster rule is for."""
-    stream = events(spark, sf_dir).where(F.col("match_id") % 13 != 5)
+    stream = events(spark, sf_dir) if stream is None else stream
+    stream = stream.where(F.col("match_id") % 13 != 5)
     seen = stream.select(
         "match_id", "season", "match_date",
         F.explode(
