@@ -18,10 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorebook.session import ensure_checkpoint_dir
+
 # Rows of one history handled by one window group.
 CHUNK_ROWS = 4096
 
@@ -36,9 +37,13 @@ class Running:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Keep a frame that one query reads several times; spills to disk, and is
-    recomputed from its lineage when an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialise a frame that one job reads several times.
+
+    The rows go to the checkpoint folder the cluster names, so they survive lost
+    executors, are computed once, and the plans built on top stay small.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def running(
@@ -52,7 +57,8 @@ def running(
     (or up to and including it).
 
     All carried totals are computed from ``df`` itself, never from the widened
-    frame, so ``df`` is read once per spec plus once.
+    frame, so ``df`` is read once per spec plus once: pass a :func:`shared` frame
+    unless it is a plain scan.
     """
     end = 0 if inclusive else -1
     out = df

@@ -22,6 +22,8 @@ def local_session(cpus: int | str = 8, app: str = "scorebook") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("SCOREBOOK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Call-site capture for every column expression costs more than small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
