@@ -4,11 +4,11 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import analytics, derive, features, loads
+    from oracles import analytics, derive, features, feeds, loads
     from oracles.prelude import with_prelude
 
     out: dict[str, str] = {}
-    for module in (derive, analytics, loads, features):
+    for module in (derive, analytics, loads, features, feeds):
         extra = getattr(module, "CTES", None)
         for name, sql in module.SQL.items():
             out[name] = with_prelude(sql, extra)
