@@ -4,12 +4,15 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import analytics, derive, features, feeds, loads
+    from oracles import analytics, derive, features, feeds, loads, models
     from oracles.prelude import with_prelude
 
+    modules = (derive, analytics, loads, features, feeds, models)
+    extra: dict[str, str] = {}
+    for module in modules:
+        extra |= getattr(module, "CTES", {})
     out: dict[str, str] = {}
-    for module in (derive, analytics, loads, features, feeds):
-        extra = getattr(module, "CTES", None)
+    for module in modules:
         for name, sql in module.SQL.items():
             out[name] = with_prelude(sql, extra)
     return out
