@@ -30,13 +30,12 @@ def _batter_runs() -> Column:
     )
 
 
-def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as unordered, unnamed events."""
+def scored_lines(lines: DataFrame) -> DataFrame:
+    """Line items as unordered, unnamed events; stateless, so it also serves streams."""
     wide = F.col("l_discount") == 0.0
     no_ball = F.col("l_discount") == 0.01
     return (
-        table(spark, sf_dir, "lineitem")
-        .withColumn("match_id", F.expr(f"l_orderkey div {ORDERS_PER_CONTEST}"))
+        lines.withColumn("match_id", F.expr(f"l_orderkey div {ORDERS_PER_CONTEST}"))
         .withColumn("innings_no", (F.lit(1) + F.col("l_orderkey") % 2).cast("int"))
         .withColumn("is_wide", wide)
         .withColumn("is_no_ball", no_ball)
@@ -51,6 +50,10 @@ def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_lines(table(spark, sf_dir, "lineitem"))
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture facts known before a ball is bowled, with ids and names."""
     nation = table(spark, sf_dir, "nation")
