@@ -112,6 +112,31 @@ def running(
     return out
 
 
+def in_order(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    sums: dict[str, Column],
+    split_rows: int | None = None,
+) -> DataFrame:
+    """Running sums up to and including each row of a group ordered by a dense
+    integer.
+
+    A group that is small by its nature (an innings) is one window, which reuses
+    the partitioning of its key. ``split_rows`` is for feeds where nothing bounds
+    a group: it is then cut into runs of that many rows and totals are carried
+    from run to run, so the largest group is spread over the cluster.
+    """
+    if split_rows is None:
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(value).over(window) for name, value in sums.items()})
+    run = F.floor(F.col(order) / F.lit(split_rows)).cast("long")
+    return running(
+        shared(df.withColumn("__run", run)), [Running(keys, sums)], day="__run", order=(order,),
+        inclusive=True,
+    ).drop("__run")
+
+
 def rolling_before(
     df: DataFrame,
     keys: list[str],

@@ -1,9 +1,10 @@
 """Scorecards derived from the event stream.
 
 All of these group or order by (match_id, innings_no, ...). When the stream is
-already partitioned by ``match_id`` (the stored table is, and so is the adapter
-stream), Spark reuses that partitioning and none of them shuffles the events
-again. An innings is a bounded group by the rules of the contest.
+already partitioned by ``match_id``, Spark reuses that partitioning and none of
+them shuffles the events again. An innings is a bounded group by the rules of the
+contest (about 120 balls); for a stream where nothing enforces that, pass
+``split_rows`` and a long innings is cut into runs that are worked on separately.
 """
 
 from __future__ import annotations
@@ -15,14 +16,11 @@ from pyspark.sql import functions as F
 
 from scorebook import constants as k
 from scorebook.functions.rates import count_where, flag, over_notation, phase_of, ratio
+from scorebook.functions.timeline import in_order
 
 INNINGS = ["match_id", "innings_no"]
 
 
-def _in_order() -> Window:
-    return Window.partitionBy(*INNINGS).orderBy("ball_seq")
-
-
 def _sum_where(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value).otherwise(F.lit(0))).cast("long")
 
@@ -106,6 +104,7 @@ def attack_cards(
     events: DataFrame,
     credited: Sequence[str] = k.CREDITED_KINDS,
     not_out: Sequence[str] = k.NOT_OUT_KINDS,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """One row per player who batted, stood at the other end or was dismissed.
 
@@ -115,8 +114,9 @@ def attack_cards(
     victim = F.coalesce("dismissed", "batter")
     kind = F.lower("wicket_type")
     rank = F.col("ball_seq") * 3
-    wicket_no = F.sum(flag(F.col("is_wicket"))).over(_in_order())
-    balls = events.withColumn("wicket_no", wicket_no)
+    balls = in_order(
+        events, INNINGS, "ball_seq", {"wicket_no": flag(F.col("is_wicket"))}, split_rows
+    )
     out = F.struct(
         "ball_seq",
         F.col("wicket_type").alias("kind"),
@@ -242,16 +242,18 @@ def defence_cards(events: DataFrame, credited: Sequence[str] = k.CREDITED_KINDS)
     )
 
 
-def dismissals(events: DataFrame) -> DataFrame:
+def dismissals(events: DataFrame, split_rows: int | None = None) -> DataFrame:
     """One row per wicket ball with the score and legal-ball position after it."""
-    order = _in_order()
+    sums = {
+        "wicket_no": flag(F.col("is_wicket")),
+        "fall_score": F.col("total_runs"),
+        "legal": flag(F.col("is_legal")),
+    }
     return (
-        events.withColumn("wicket_no", F.sum(flag(F.col("is_wicket"))).over(order).cast("int"))
-        .withColumn("fall_score", F.sum("total_runs").over(order))
-        .withColumn("legal", F.sum(flag(F.col("is_legal"))).over(order))
+        in_order(events, INNINGS, "ball_seq", sums, split_rows)
         .where("is_wicket")
         .select(
-            *INNINGS, "wicket_no",
+            *INNINGS, F.col("wicket_no").cast("int").alias("wicket_no"),
             F.coalesce("dismissed", "batter").alias("player"),
             F.col("batting_team").alias("team"),
             "fall_score",
@@ -261,19 +263,17 @@ def dismissals(events: DataFrame) -> DataFrame:
     )
 
 
-def stands(events: DataFrame) -> DataFrame:
+def stands(events: DataFrame, split_rows: int | None = None) -> DataFrame:
     """Runs added between consecutive wickets, with what each partner made.
 
     The stand of a ball is the number of wickets before it plus one. Members are
     aggregated first, so a stand row is folded from one row per batter.
     """
-    order = _in_order()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
     keep = [c for c in ("season", "match_date") if c in events.columns]
-    balls = events.withColumn(
-        "wicket_no", (F.lit(1) + F.coalesce(F.sum(flag(F.col("is_wicket"))).over(before), F.lit(0)))
-        .cast("int"),
-    ).withColumn("legal", F.sum(flag(F.col("is_legal"))).over(order))
+    fell = flag(F.col("is_wicket"))
+    balls = in_order(
+        events, INNINGS, "ball_seq", {"fallen": fell, "legal": flag(F.col("is_legal"))}, split_rows
+    ).withColumn("wicket_no", (F.col("fallen") - fell + 1).cast("int"))
     members = balls.groupBy(*INNINGS, "wicket_no", "batting_team", *keep, "batter").agg(
         F.sum("batter_runs").alias("member_runs"),
         count_where(~F.col("is_wide")).alias("member_balls"),
