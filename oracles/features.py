@@ -1,5 +1,7 @@
 """Oracle text for standings, history features and in-play features."""
 
+import re
+
 from oracles.analytics import big, rate
 
 BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -102,7 +104,7 @@ SELECT match_id, team, list_reverse_sort(list(CASE WHEN balls >= 60 THEN CAST(ru
   CAST(sum(matches) AS DOUBLE) / count(*) AS xi_experience FROM sqc GROUP BY match_id, team""",
     "sqs": """
 SELECT match_id, team, coalesce(list_avg(a), 22.0) AS xi_batting_average, coalesce(list_avg(r), 128.0) AS xi_strike_rate, coalesce(list_avg(e), 8.2) AS xi_bowling_economy, xi_experience FROM sqm""",
-    "hx": "SELECT hs.*, xi_batting_average, xi_strike_rate, xi_bowling_economy, xi_experience FROM hs LEFT JOIN sqs USING (match_id, team)",
+    "hx": "SELECT h.*, xi_batting_average, xi_strike_rate, xi_bowling_economy, xi_experience FROM hs h LEFT JOIN sqs USING (match_id, team)",
     "feat": """
 SELECT b.match_id, b.match_key, b.match_date, b.team1, b.team2, b.venue, b.toss_decision, b.season,
   CASE WHEN home_team = team1 THEN 1 ELSE 0 END AS team1_is_home, CAST(is_neutral_venue AS INTEGER) AS is_neutral_venue, CAST(is_playoff AS INTEGER) AS is_playoff,
@@ -122,10 +124,10 @@ SELECT b.match_id, b.match_key, b.match_date, b.team1, b.team2, b.venue, b.toss_
         )
     ) + """,
   CASE WHEN s1.xi_batting_average IS NOT NULL AND s2.xi_batting_average IS NOT NULL THEN 1 ELSE 0 END AS has_xi_data,
-  hpp.* EXCLUDE (match_id), coalesce(s1.own_venue_score, venue_avg_first_innings) AS team1_venue_avg_score, coalesce(s2.own_venue_score, venue_avg_first_innings) AS team2_venue_avg_score,
+  lv.* EXCLUDE (match_id), coalesce(s1.own_venue_score, venue_avg_first_innings) AS team1_venue_avg_score, coalesce(s2.own_venue_score, venue_avg_first_innings) AS team2_venue_avg_score,
   b.done AS is_completed, winner, first_batting_team, CASE WHEN b.done THEN CASE WHEN winner = team1 THEN 1 ELSE 0 END END AS target_team1_wins,
   r1 AS first_innings_runs, r2 AS second_innings_runs
-FROM hb b JOIN hpp USING (match_id) JOIN hx s1 ON s1.match_id = b.match_id AND s1.slot = 1 JOIN hx s2 ON s2.match_id = b.match_id AND s2.slot = 2""",
+FROM hb b JOIN hpp lv USING (match_id) JOIN hx s1 ON s1.match_id = b.match_id AND s1.slot = 1 JOIN hx s2 ON s2.match_id = b.match_id AND s2.slot = 2""",
     # In play
     "ch0": """
 SELECT e.*, row_number() OVER w - 1 AS idx, first_value(batting_team) OVER w AS bt, first_value(bowling_team) OVER w AS bw,
@@ -139,7 +141,7 @@ SELECT c.match_id, c.ball_seq, m.season, m.match_date, bt AS batting_team, bw AS
   CAST(cw AS BIGINT) AS wickets_fallen, CAST(cb AS BIGINT) AS balls_bowled, CAST(over_no AS BIGINT) AS over_no, CAST(r5 AS BIGINT) AS runs_last_5_overs, CAST(w5 AS BIGINT) AS wickets_last_5_overs,
   CASE WHEN winner = bt THEN 1 ELSE 0 END AS target_chase_success
 FROM ch1 c JOIN tot t ON t.match_id = c.match_id JOIN con m ON m.match_id = c.match_id
-WHERE m.is_completed AND m.winner IS NOT NULL AND NOT m.is_no_result AND cw < 10 AND cr < runs1 + 1 AND idx % 3 = 0""",
+WHERE m.is_completed AND m.winner IS NOT NULL AND NOT m.is_no_result AND cw < 10 AND cr < runs1 + 1""",
     "aw2": """
 SELECT match_id, player, team, CAST(sum(runs) AS BIGINT) AS runs, CAST(sum(balls) AS BIGINT) AS balls, CAST(sum(fours) AS BIGINT) AS fours, CAST(sum(sixes) AS BIGINT) AS sixes,
   CAST(sum(wickets) AS BIGINT) AS wickets, CAST(sum(rc) AS BIGINT) AS runs_conceded, CAST(sum(bb) AS BIGINT) AS balls_bowled, CAST(sum(maidens) AS BIGINT) AS maidens
@@ -154,6 +156,18 @@ FROM aw2 a JOIN cona c USING (match_id) WHERE is_completed AND player_of_match I
 }
 
 
+# The same chain with the requested fixtures appended after all contests.
+CTES["req"] = """
+SELECT match_id AS request_id, team2 AS team1, team1 AS team2, venue, season, CAST(match_date + INTERVAL 3 DAY AS DATE) AS match_date, toss_winner, toss_decision, is_playoff, is_neutral_venue FROM con"""
+CTES["hbq"] = """
+SELECT * FROM hb UNION ALL BY NAME SELECT -row_number() OVER (ORDER BY team1, team2, venue, season) AS match_id, team1, team2, venue, season, DATE '9001-01-01' AS match_date,
+  false AS done, false AS decided, false AS is_completed, least(team1, team2) AS pair_a, greatest(team1, team2) AS pair_b FROM (SELECT DISTINCT team1, team2, venue, season FROM req)"""
+for _name in ("hp", "hpp", "hs0", "hs1", "hs2", "hs", "sq", "sqc", "sqm", "sqs", "hx", "feat"):
+    CTES[_name + "q"] = re.sub(
+        r"\b(FROM|JOIN) (hb|hpp|hp|hs0|hs1|hs2|hs|sqc|sqm|sqs|sq|hx)\b", r"\1 \2q", CTES[_name]
+    )
+
+
 def state(prefix: str = "") -> str:
     need = "CASE WHEN 120 - balls_bowled > 0 THEN least(CAST(greatest(target - current_runs, 0) * 6 AS DOUBLE) / (120 - balls_bowled), 99.0::DOUBLE) ELSE 99.0::DOUBLE END"
     now = "CASE WHEN balls_bowled > 0 THEN CAST(current_runs * 6 AS DOUBLE) / balls_bowled ELSE 0.0::DOUBLE END"
@@ -163,7 +177,7 @@ def state(prefix: str = "") -> str:
 
 
 SIDE_PICK = "SELECT match_id, team, {c} FROM hs WHERE done"
-LIVE = "(SELECT *, balls_bowled // 6 + 1 AS over_no FROM (SELECT match_id, ball_seq, batting_team, bowling_team, venue, target, current_runs, wickets_fallen, balls_bowled, runs_last_5_overs, wickets_last_5_overs FROM ch2 WHERE ball_seq % 10 = 1))"
+LIVE = "(SELECT *, balls_bowled // 6 + 1 AS over_no FROM (SELECT match_id, ball_seq, batting_team, bowling_team, venue, target, current_runs, wickets_fallen, balls_bowled, runs_last_5_overs, wickets_last_5_overs FROM ch2))"
 
 SQL = {
     "r1_standings": "SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY points DESC, won DESC, team) AS INTEGER) AS position FROM st0",
@@ -212,6 +226,19 @@ FROM (SELECT *, coalesce(first_batting_team = team1, false) AS f FROM feat WHERE
 SELECT match_id, team2 AS team1, team1 AS team2, team2_career_win_rate AS team1_career_win_rate, team1_rest_days AS team2_rest_days, -form_short_diff AS form_short_diff, -rest_days_diff AS rest_days_diff,
   0 AS team1_is_home, 1 - toss_winner_is_team1 AS toss_winner_is_team1, 1 - team1_h2h_win_rate AS team1_h2h_win_rate, 1 - target_team1_wins AS target_team1_wins, true AS is_mirrored
 FROM feat WHERE is_completed""",
+    "f19_featurise_requests": """
+SELECT q.request_id, q.match_date, q.team1, q.team2, q.venue, q.toss_decision, q.season, 1 AS team1_is_home, CAST(q.is_neutral_venue AS INTEGER) AS is_neutral_venue,
+  CAST(q.is_playoff AS INTEGER) AS is_playoff, CASE WHEN q.toss_winner = q.team1 THEN 1 ELSE 0 END AS toss_winner_is_team1, CASE WHEN q.toss_decision = 'bat' THEN 1 ELSE 0 END AS toss_decision_is_bat,
+  """ + ", ".join(
+        [f"f.team{i}_{c}" for i in (1, 2) for c in ("career_win_rate", "form_short", "form_long", "venue_win_rate", "avg_runs_scored", "avg_runs_conceded", "net_run_strength", "season_points", "season_matches", "win_streak", "venue_avg_score", "xi_experience")]
+        + [f"round(f.team{i}_xi_{m}, 6) AS team{i}_xi_{m}" for i in (1, 2) for m in ("batting_average", "strike_rate", "bowling_economy")]
+        + [f"round(f.xi_{m}_diff, 6) AS xi_{m}_diff" for m in ("batting_average", "strike_rate", "bowling_economy")]
+        + [f"f.{c}" for c in ("form_short_diff", "form_long_diff", "career_win_rate_diff", "venue_win_rate_diff", "net_run_strength_diff", "season_points_diff", "xi_experience_diff", "team1_h2h_win_rate", "h2h_matches", "venue_avg_first_innings", "venue_chase_win_rate", "league_recent_avg_score", "venue_recent_avg_score", "has_xi_data")]
+        + [f"coalesce(CAST(least(greatest(date_diff('day', s{i}.ld, q.match_date), 0), 30) AS DOUBLE), 30.0::DOUBLE) AS team{i}_rest_days" for i in (1, 2)]
+    ) + """,
+  coalesce(CAST(least(greatest(date_diff('day', s1.ld, q.match_date), 0), 30) AS DOUBLE), 30.0::DOUBLE) - coalesce(CAST(least(greatest(date_diff('day', s2.ld, q.match_date), 0), 30) AS DOUBLE), 30.0::DOUBLE) AS rest_days_diff
+FROM req q JOIN featq f ON f.match_id < 0 AND f.team1 = q.team1 AND f.team2 = q.team2 AND f.venue = q.venue AND f.season = q.season
+JOIN hsq s1 ON s1.match_id = f.match_id AND s1.slot = 1 JOIN hsq s2 ON s2.match_id = f.match_id AND s2.slot = 2""",
     "f20_drivers": """
 SELECT match_id, label, team1_value, team2_value, unit FROM (
   SELECT match_id, 'Recent form (last 5)' AS label, team1_form_short * 100 AS team1_value, team2_form_short * 100 AS team2_value, '%' AS unit FROM feat WHERE is_completed

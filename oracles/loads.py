@@ -86,11 +86,11 @@ UNION ALL SELECT 'rosters', count(*) FROM ros UNION ALL SELECT 'completed_contes
     "s10_season_range": "SELECT min(season) AS first_season, max(season) AS last_season FROM con",
     "k1_upsert_contests": """
 SELECT match_id, match_key, winner, result_summary FROM con WHERE match_id % 3 <> 0 AND match_id % 4 <> 0
-UNION ALL SELECT match_id, match_key, winner, upper(result_summary) FROM con WHERE match_id % 4 = 0""",
-    "k1_upsert_counts": "SELECT count(*) FILTER (WHERE match_id % 3 = 0) AS inserted, count(*) FILTER (WHERE match_id % 3 <> 0) AS updated FROM con WHERE match_id % 4 = 0",
+UNION ALL SELECT match_id, match_key, winner, upper(result_summary) FROM con WHERE match_id % 3 = 0 OR match_id % 4 = 0""",
+    "k1_upsert_counts": "SELECT count(*) FILTER (WHERE match_id % 3 = 0) AS inserted, count(*) FILTER (WHERE match_id % 3 <> 0) AS updated FROM con WHERE match_id % 3 = 0 OR match_id % 4 = 0",
     "k2_replace_children": """
-SELECT match_id, innings_no, runs FROM per0 WHERE match_id % 3 <> 0 AND match_id % 2 <> 0
-UNION ALL SELECT match_id, innings_no, runs + 1000 FROM per0 WHERE match_id % 6 = 0""",
+SELECT match_id, innings_no, runs FROM per0 WHERE match_id % 2 <> 0
+UNION ALL SELECT match_id, innings_no, runs + 1000 FROM per0 WHERE match_id % 2 = 0 AND match_id % 10 <> 0""",
     "k3_resolve_dimension": """
 SELECT count(DISTINCT n) AS names, count(DISTINCT n) AS keys, count(DISTINCT n) AS highest_key, (SELECT count(*) FROM nation WHERE n_nationkey < 10) AS unchanged
 FROM (SELECT n_name AS n FROM nation WHERE n_nationkey < 10 UNION ALL SELECT venue FROM con UNION ALL SELECT city FROM con)""",

@@ -134,7 +134,7 @@ def _m8(spark, sf_dir):
 
 @register("m9_chase_task")
 def _m9(spark, sf_dir):
-    return learn.chase_task(chases(spark, sf_dir), TEST_FROM, QUICK).metrics
+    return learn.chase_task(chases(spark, sf_dir, 3), TEST_FROM, QUICK).metrics
 
 
 @register("m10_award_task")
@@ -155,7 +155,7 @@ def _m10_top1(spark, sf_dir):
 @register("m16_feature_importance")
 def _m16(spark, sf_dir):
     trained = learn.chase_task(
-        chases(spark, sf_dir), TEST_FROM,
+        chases(spark, sf_dir, 3), TEST_FROM,
         learn.Effort(trees=10, classifier_depth=4, candidates=(learn.FOREST,)),
     )
     return learn.feature_importance(trained.model, spark)
@@ -185,7 +185,7 @@ def _m19(spark, sf_dir):
 
 
 def _live_model(spark, sf_dir):
-    return learn.chase_task(chases(spark, sf_dir), TEST_FROM, LINEAR_ONLY).model
+    return learn.chase_task(chases(spark, sf_dir, 3), TEST_FROM, LINEAR_ONLY).model
 
 
 @register("m20_score_chases")

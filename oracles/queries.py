@@ -300,7 +300,8 @@ def _id(divisor):
 
 def _upsert(spark, sf_dir):
     stored = td.contests(spark, sf_dir).select("match_id", "match_key", "winner", "result_summary")
-    incoming = stored.where(_id(4) == 0).withColumn("result_summary", F.upper("result_summary"))
+    arriving = (_id(3) == 0) | (_id(4) == 0)
+    incoming = stored.where(arriving).withColumn("result_summary", F.upper("result_summary"))
     return maintain.upsert_contests(stored.where(_id(3) != 0), incoming)
 
 
@@ -318,8 +319,8 @@ def _k1_counts(spark, sf_dir):
 def _k2(spark, sf_dir):
     totals = periods(spark, sf_dir, False).select("match_id", "innings_no", "runs")
     return maintain.replace_children(
-        totals.where(_id(3) != 0),
-        totals.where(_id(6) == 0).withColumn("runs", F.col("runs") + 1000),
+        totals,
+        totals.where((_id(2) == 0) & (_id(10) != 0)).withColumn("runs", F.col("runs") + 1000),
         td.headers(spark, sf_dir).where(_id(2) == 0),
     )
 
@@ -729,9 +730,11 @@ def requests(spark, sf_dir):
 
 @register("f19_featurise_requests")
 def _f19(spark, sf_dir):
-    return history.featurise_requests(
-        requests(spark, sf_dir), td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir),
-        *card_tables(spark, sf_dir),
+    return _six_digits(
+        history.featurise_requests(
+            requests(spark, sf_dir), td.contests(spark, sf_dir), td.innings_scores(spark, sf_dir),
+            *card_tables(spark, sf_dir),
+        )
     )
 
 
@@ -746,7 +749,7 @@ def _f20(spark, sf_dir):
 # In play and award -----------------------------------------------------------
 
 
-def chases(spark, sf_dir, stride=3):
+def chases(spark, sf_dir, stride=1):
     return inplay.chase_features(
         td.events(spark, sf_dir), td.contests(spark, sf_dir), stride, digits=None
     )
@@ -758,7 +761,8 @@ def _c1(spark, sf_dir):
 
 
 def live_states(spark, sf_dir):
-    return chases(spark, sf_dir).where(F.col("ball_seq") % 10 == 1).select(
+    """Every ball of every chase as a state somebody could ask about."""
+    return chases(spark, sf_dir).select(
         "match_id", "ball_seq", "batting_team", "bowling_team", "venue", "target", "current_runs",
         "wickets_fallen", "balls_bowled", "runs_last_5_overs", "wickets_last_5_overs",
     )

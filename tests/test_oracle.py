@@ -19,6 +19,6 @@ def test_matches_duckdb(name, spark, duck_connection, sf_dir):
 
 
 # Models need more contests than the smallest tables hold; test_learn covers them.
-@pytest.mark.parametrize("name", ["r5_qualification_odds", "r7_what_if", "f19_featurise_requests"])
+@pytest.mark.parametrize("name", ["r5_qualification_odds", "r7_what_if"])
 def test_runs(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
