@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, quality
+from . import exact, language, mixing, packing, quality, repeats, simhash
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clusters(table(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id"
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -47,6 +57,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_language": op3_language,
+    "op4_repeats": op4_repeats,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
@@ -54,6 +66,28 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_repeats": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), t AS (
+  SELECT k, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w
+), p AS (
+  SELECT k, words, unnest(range(1, len(words) - 33)) AS pos FROM w WHERE len(words) >= 35
+), r AS (
+  SELECT k, pos FROM (
+    SELECT k, pos, count(*) OVER (PARTITION BY array_to_string(words[pos:pos + 34], ' ')) AS n FROM p
+  ) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT k, unnest(range(pos, pos + 35)) AS i FROM r
+), kept AS (
+  SELECT k, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM t ANTI JOIN gone USING (k, i) GROUP BY k
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (k)
+""",
     "op8_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
