@@ -126,20 +126,21 @@ def fit(rows: list[dict]) -> dict | None:
     return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rest_of: int | None = None) -> DataFrame:
-    """doc_id, text, label of a bounded sample; `rest_of` leaves out ids whose checksum it divides."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, zeros: int, ones: int, rest_of: int | None = None
+) -> DataFrame:
+    """doc_id, text, label of at most so many rows of each label; `rest_of` leaves out ids whose checksum it divides."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     if rest_of:
         known = known.where(id_checksum(F.col("doc_id")) % rest_of != 0)
-    # The rarer label gets up to half of the sample.
-    chosen = sample_ids(known.where("label = 0"), SAMPLE // 2).union(sample_ids(known.where("label = 1"), SAMPLE // 2))
+    chosen = sample_ids(known.where("label = 0"), zeros).union(sample_ids(known.where("label = 1"), ones))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:
-    return fit_in_one_task(labelled_sample(docs, labels, "quality"), fit)
+    return fit_in_one_task(labelled_sample(docs, labels, "quality", SAMPLE // 2, SAMPLE // 2), fit)
 
 
 def verdicts(model: dict | None, texts: list[bytes]) -> dict[str, list]:

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, quality, repeats, simhash
+from . import exact, language, mixing, packing, quality, repeats, simhash, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -38,6 +38,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One index per corpus folder, built anew: the query is about all documents.
     name = f"llm_digest_index_{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
