@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, quality, repeats, simhash, toxicity
+from . import exact, language, mixing, packing, pii, quality, repeats, simhash, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,11 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs), with_text=False)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -61,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_language": op3_language,
     "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
