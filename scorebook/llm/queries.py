@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, packing, pii, quality, repeats, simhash, toxicity
+from . import exact, html, language, mixing, packing, pii, quality, repeats, simhash, toxicity
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs), with_text=False)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -67,6 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_html": op2_html,
     "op3_language": op3_language,
     "op4_repeats": op4_repeats,
     "op5_simhash": op5_simhash,
