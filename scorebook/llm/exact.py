@@ -53,8 +53,10 @@ def candidates(digested: DataFrame) -> DataFrame:
 class DigestIndex:
     """A named table of digests in the warehouse, bucketed and sorted by digest."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 32):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        """`buckets` is for a new table; no fewer than shuffle partitions, or Spark deals the index anew."""
+        self.spark, self.name = spark, name
+        self.buckets = buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
