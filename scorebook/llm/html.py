@@ -271,9 +271,12 @@ def content(root: Node, weight: dict[int, float] | None = None) -> tuple[str, No
         mass[id(node)] = own + sum(mass[id(c)] for c in node.children if isinstance(c, Node))
     whole = mass[id(root)]
     named = [(p, n) for p, n in order if n.tag in ("article", "main") or n.attributes and (n.attribute("role") or "") == "main"]
-    for path, node in sorted(named, key=lambda x: x[1].tag != "article"):
-        if whole and mass[id(node)] >= 0.5 * whole:
-            return path, node
+    # The only article of a page is the content; among several one must hold most of the text.
+    for kind in (True, False):
+        marked = [(p, n) for p, n in named if not n.skipped and (n.tag == "article") == kind]
+        for path, node in marked:
+            if mass[id(node)] and (len(marked) == 1 or mass[id(node)] >= 0.5 * whole):
+                return path, node
     path, node = "", root
     while True:
         inside = [c for c in node.children if isinstance(c, Node)]
