@@ -37,7 +37,9 @@ GROUP_ROWS = 6000
 WORD_CACHE = 400_000
 CORE_CACHE = 900_000
 #: Failed tries in a row after which the local search of a group ends.
-PATIENCE = 200
+PATIENCE = 150
+#: Most steps of a group's search.
+STEPS = 20_000
 
 #: Letters whose lower case and normal form are single letters, then plain punctuation.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)$")
@@ -140,13 +142,18 @@ class LocalSearch:
     def __init__(self, lengths: Sequence[int], bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
         self.room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
+        self.size = np.asarray(lengths, np.int64)
+        self.where = np.empty(len(lengths), np.int64)  # the bin of each document
+        for b, inside in enumerate(bins):
+            self.where[inside] = b
         self.alive = len(bins)
         self.least = -(-sum(lengths) // capacity)
 
     def run(self, patience: int = PATIENCE) -> list[list[int]]:
         failures = 0
         stuck: set[int] = set()
-        while self.alive > self.least and failures < patience:
+        steps = 0
+        while self.alive > self.least and failures < patience and steps < STEPS:
             rooms = np.where(self.room < self.capacity, self.room, -1)
             rooms[list(stuck)] = -1
             victim = int(rooms.argmax())
@@ -154,7 +161,8 @@ class LocalSearch:
                 break
             if self.improve(victim):
                 failures = 0
-                stuck.clear() if not self.bins[victim] else None
+                steps += 1
+                stuck.clear()
             else:
                 failures += 1
                 stuck.add(victim)
@@ -172,10 +180,9 @@ class LocalSearch:
             if len(fits):
                 self.shift(victim, [i], int(fits[self.room[fits].argmin()]), [])
                 return True
-        owners = np.repeat(targets, [len(self.bins[t]) for t in targets])
-        held = np.array([j for t in targets for j in self.bins[t]], np.int64)
-        sizes = np.asarray(self.lengths)[held]
-        rooms = self.room[owners]
+        around = self.room[self.where]
+        held = np.flatnonzero((around > 0) & (around <= self.room[victim]) & (self.where != victim))
+        owners, sizes, rooms = self.where[held], self.size[held], around[held]
         for i in documents:  # one for one
             gain = self.lengths[i] - sizes
             good = np.flatnonzero((gain > 0) & (gain <= rooms))
@@ -197,7 +204,7 @@ class LocalSearch:
     def one_for_two(self, victim: int, documents: list[int], targets: np.ndarray) -> bool:
         for i in documents:
             size = self.lengths[i]
-            for t in targets[np.argsort(-self.room[targets])][:64]:
+            for t in targets[np.argsort(-self.room[targets])][:16]:
                 inside = sorted((self.lengths[j], j) for j in self.bins[t])
                 values = [v for v, _ in inside]
                 for x, (v, j) in enumerate(inside):
@@ -212,6 +219,7 @@ class LocalSearch:
         gain = sum(self.lengths[i] for i in give) - sum(self.lengths[i] for i in take)
         self.bins[source] = [i for i in self.bins[source] if i not in give] + take
         self.bins[target] = [i for i in self.bins[target] if i not in take] + give
+        self.where[give], self.where[take] = target, source
         self.room[source] += gain
         self.room[target] -= gain
         if not self.bins[source]:
