@@ -193,7 +193,7 @@ def training_rows(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
                 changed, found = _look_alikes(text, span, turn + extra)
                 x.extend(describe(changed, c) for c in found)
                 y.extend([0.0] * len(found))
-    return np.array(x, float).reshape(len(x), -1), np.array(y)
+    return np.array(x, float), np.array(y)
 
 
 def fit(rows: list[dict]) -> dict | None:
