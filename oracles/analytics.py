@@ -196,9 +196,10 @@ LEFT JOIN (SELECT venue, winner || ' by ' || win_margin_wickets || ' wickets' AS
     "e1_contests_per_season": "SELECT season, count(*) AS matches FROM con GROUP BY season",
     "e2_place_scoring": "SELECT venue, matches, avg_first_innings, chase_win_pct FROM (SELECT * FROM vsum LEFT JOIN vper USING (venue) WHERE matches >= 5 ORDER BY matches DESC, venue LIMIT 12)",
     "e3_score_histogram": """
-SELECT CAST(b AS INTEGER) AS bin, lo + b * (hi - lo) / 30.0::DOUBLE AS from_runs, count(*) AS innings FROM (
-  SELECT lo, hi, least((runs - lo) * 30 // nullif(hi - lo, 0), 29) AS b FROM per, (SELECT min(runs) AS lo, max(runs) AS hi FROM per WHERE innings_no = 1) WHERE innings_no = 1)
-GROUP BY b, lo, hi""",
+SELECT CAST(b AS INTEGER) AS bin, lo + b * (hi - lo) / 30.0::DOUBLE AS from_runs, count(*) AS innings, mean_runs FROM (
+  SELECT lo, hi, mean_runs, least((runs - lo) * 30 // nullif(hi - lo, 0), 29) AS b FROM per,
+    (SELECT min(runs) AS lo, max(runs) AS hi, avg(runs) AS mean_runs FROM per WHERE innings_no = 1) WHERE innings_no = 1)
+GROUP BY b, lo, hi, mean_runs""",
     "e4_phase_rates": f"""
 SELECT season, {rate("sum(runs) FILTER (WHERE phase = 'powerplay')", "sum(balls) FILTER (WHERE phase = 'powerplay')", 6)} AS powerplay,
   {rate("sum(runs) FILTER (WHERE phase = 'middle')", "sum(balls) FILTER (WHERE phase = 'middle')", 6)} AS middle,

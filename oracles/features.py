@@ -37,6 +37,16 @@ CTES = {
 SELECT season, team, count(*) AS played, count(*) FILTER (WHERE NOT shared AND winner = team) AS won, count(*) FILTER (WHERE NOT shared AND winner <> team) AS lost,
   count(*) FILTER (WHERE shared) AS no_result, count(*) FILTER (WHERE NOT shared AND winner = team) * 2 + count(*) FILTER (WHERE shared) AS points
 FROM lgs GROUP BY season, team""",
+    "fcd": """
+SELECT * REPLACE (CASE WHEN forced THEN team1 ELSE winner END AS winner, is_completed OR forced AS is_completed) FROM (
+  SELECT *, (NOT is_completed OR winner IS NULL) AND match_id % 2 = 0 AS forced FROM con WHERE NOT is_playoff)""",
+    "fcs": """
+SELECT season, t AS team, winner, is_no_result OR winner IS NULL AS shared FROM (
+  SELECT *, team1 AS t FROM fcd UNION ALL SELECT *, team2 FROM fcd) WHERE is_completed""",
+    "fct": """
+SELECT season, team, count(*) AS played, count(*) FILTER (WHERE NOT shared AND winner = team) AS won, count(*) FILTER (WHERE NOT shared AND winner <> team) AS lost,
+  count(*) FILTER (WHERE shared) AS no_result, count(*) FILTER (WHERE NOT shared AND winner = team) * 2 + count(*) FILTER (WHERE shared) AS points
+FROM fcs GROUP BY season, team""",
     "chg": """
 SELECT l.season, batting_team, bowling_team, runs, CASE WHEN wickets >= 10 THEN 120 ELSE balls END AS cb
 FROM per0 JOIN lg l USING (match_id) WHERE l.is_completed""",
@@ -73,7 +83,7 @@ UNION ALL
 SELECT match_id, season, match_date, venue, done, decided, 2, team2, CASE WHEN decided THEN CASE WHEN winner = team2 THEN 1 ELSE 0 END END,
   CASE WHEN first_batting_team = team2 THEN first_score ELSE chase_score END, CASE WHEN first_batting_team = team2 THEN chase_score ELSE first_score END FROM hb""",
     "hs1": """
-SELECT h.*, l.match_id IS NOT NULL AS listed FROM hs0 h LEFT JOIN (SELECT DISTINCT match_id, team FROM ros WHERE is_playing_xi) l ON l.match_id = h.match_id AND l.team = h.team""",
+SELECT h.*, l.match_id IS NOT NULL AS listed FROM hs0 h LEFT JOIN (SELECT DISTINCT match_id, team FROM rosgap WHERE is_playing_xi) l ON l.match_id = h.match_id AND l.team = h.team""",
     "hs2": f"""
 SELECT *, {total('CASE WHEN decided THEN 1 ELSE 0 END', SIDE)} AS pb, {total('won', SIDE)} AS wb,
   max(CASE WHEN done THEN match_date END) {SIDE} AS ld,
@@ -92,7 +102,7 @@ SELECT *, {shrink('wb', 'pb')} AS career_win_rate, avg_runs_scored - avg_runs_co
 SELECT match_id, match_date, player, sum(runs) AS runs, sum(balls) AS balls, sum(outs) AS outs, sum(conceded) AS conceded, sum(bowled) AS bowled, sum(wickets) AS wickets, 1 AS matches
 FROM (SELECT match_id, player, runs, balls, CASE WHEN is_out THEN 1 ELSE 0 END AS outs, 0 AS conceded, 0 AS bowled, 0 AS wickets FROM bat0
   UNION ALL SELECT match_id, player, 0, 0, 0, runs_conceded, balls, wickets FROM bowl0) JOIN hb USING (match_id) WHERE done GROUP BY match_id, match_date, player""",
-    "sq": "SELECT h.match_id, h.match_date, h.team, r.player FROM hs h JOIN ros r ON r.match_id = h.rmid AND r.team = h.team WHERE r.is_playing_xi",
+    "sq": "SELECT h.match_id, h.match_date, h.team, r.player FROM hs h JOIN rosgap r ON r.match_id = h.rmid AND r.team = h.team WHERE r.is_playing_xi",
     "sqc": """
 SELECT s.match_id, s.team, s.player, sum(runs) AS runs, sum(balls) AS balls, sum(outs) AS outs, sum(conceded) AS conceded, sum(bowled) AS bowled, sum(matches) AS matches
 FROM sq s JOIN ce e ON e.player = s.player AND (e.match_date < s.match_date OR (e.match_date = s.match_date AND e.match_id < s.match_id))
@@ -149,8 +159,8 @@ FROM (SELECT match_id, player, team, runs, balls, fours, sixes, 0 AS wickets, 0
   UNION ALL SELECT match_id, player, team, 0, 0, 0, 0, wickets, runs_conceded, balls, maidens FROM bowl0) GROUP BY ALL""",
     "aw3": f"""
 SELECT a.*, c.season, {'coalesce(' + rate('runs', 'balls', 100) + ', 0.0)'} AS strike_rate, {'coalesce(' + rate('runs_conceded', 'balls_bowled', 6) + ', 0.0)'} AS economy, fours * 4 + sixes * 6 AS boundary_runs,
-  CASE WHEN winner = team THEN 1 ELSE 0 END AS team_won, CASE WHEN player_of_match = player THEN 1 ELSE 0 END AS target_is_award
-FROM aw2 a JOIN cona c USING (match_id) WHERE is_completed AND player_of_match IS NOT NULL""",
+  CASE WHEN winner = team THEN 1 ELSE 0 END AS team_won, CASE WHEN player_of_match IS NOT NULL THEN CASE WHEN player_of_match = player THEN 1 ELSE 0 END END AS target_is_award
+FROM aw2 a JOIN cona c USING (match_id)""",
     "aw4": "SELECT *, runs + (strike_rate - 130) * balls / 100.0::DOUBLE AS batting_impact, wickets * 20 - (economy - 8) * (balls_bowled / 6.0::DOUBLE) AS bowling_impact FROM aw3",
     "aw5": "SELECT *, batting_impact + bowling_impact AS total_impact FROM aw4",
 }
@@ -181,6 +191,7 @@ LIVE = "(SELECT *, balls_bowled // 6 + 1 AS over_no FROM (SELECT match_id, ball_
 
 SQL = {
     "r1_standings": "SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY points DESC, won DESC, team) AS INTEGER) AS position FROM st0",
+    "r7_forced_standings": "SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY points DESC, won DESC, team) AS INTEGER) AS position FROM fct",
     "r2_net_run_rate": "SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY points DESC, net_run_rate DESC NULLS LAST, team) AS INTEGER) AS position FROM nrr",
     "r3_remaining_fixtures": "SELECT match_id, season, team1, team2, venue FROM lg WHERE NOT is_completed OR winner IS NULL",
     "r6_remaining_per_side": """

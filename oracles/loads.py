@@ -92,8 +92,11 @@ UNION ALL SELECT match_id, match_key, winner, upper(result_summary) FROM con WHE
 SELECT match_id, innings_no, runs FROM per0 WHERE match_id % 2 <> 0
 UNION ALL SELECT match_id, innings_no, runs + 1000 FROM per0 WHERE match_id % 2 = 0 AND match_id % 10 <> 0""",
     "k3_resolve_dimension": """
-SELECT count(DISTINCT n) AS names, count(DISTINCT n) AS keys, count(DISTINCT n) AS highest_key, (SELECT count(*) FROM nation WHERE n_nationkey < 10) AS unchanged
-FROM (SELECT n_name AS n FROM nation WHERE n_nationkey < 10 UNION ALL SELECT venue FROM con UNION ALL SELECT city FROM con)""",
+SELECT n AS name, min(id) AS known_id FROM (SELECT n_name AS n, CAST(n_nationkey + 1 AS BIGINT) AS id FROM nation WHERE n_nationkey < 10
+  UNION ALL SELECT venue, NULL FROM con UNION ALL SELECT city, NULL FROM con) GROUP BY n""",
+    "k3_new_keys": """
+SELECT 10 + row_number() OVER (ORDER BY n) AS id FROM (SELECT venue AS n FROM con UNION SELECT city FROM con)
+WHERE n NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 10)""",
     "k3_attach_keys": """
 SELECT match_id, CASE WHEN regexp_matches(venue, '^NATION_[0-9]$') THEN CAST(regexp_extract(venue, '^NATION_([0-9]+)$', 1) AS BIGINT) + 1 END AS venue_id FROM con""",
     "k4_enrich_actors": """
@@ -122,6 +125,13 @@ FROM (SELECT n_name || '_P' || n AS name, n FROM nation, range(11) t(n) WHERE n_
     "q15_dedupe": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
   ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) WHERE rn = 1""",
+    "q15_dedupe_children": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) + count(*) FILTER (WHERE match_id % 3 = 0) AS rows_before, count(*) AS rows_after, CAST(0 AS BIGINT) AS copies_kept FROM {cte}"
+        for name, cte in (
+            ("periods", "per0"), ("attack_cards", "bat0"), ("defence_cards", "bowl0"), ("dismissals", "dis"),
+            ("stands", "std"), ("events", "ev"), ("rosters", "ros"),
+        )
+    ),
     "q16_issue_counts": "SELECT code, count(*) AS issues FROM iss GROUP BY code",
     "q16_issue_summary": """
 SELECT count(*) AS checked, count(*) FILTER (WHERE e > 0) AS rejected, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(w) AS BIGINT) AS warnings

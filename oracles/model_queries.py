@@ -145,13 +145,20 @@ def _m10(spark, sf_dir):
 @register("m10_top1_accuracy")
 def _m10_top1(spark, sf_dir):
     """The batting impact stands in for a score, so both engines can rank it."""
-    rows = awards(spark, sf_dir).select(
+    rows = awards(spark, sf_dir).where("target_is_award IS NOT NULL").select(
         "match_id", "player", F.col("target_is_award").alias("label"),
         F.col("runs").cast("double").alias("probability"),
     )
     return evaluate.top1_accuracy(rows)
 
 
+@register("m21_award_share")
+def _m21_share(spark, sf_dir):
+    """Ranking of every contest, also those whose award is open, on a score both engines have."""
+    rows = awards(spark, sf_dir).withColumn("probability", F.col("runs").cast("double"))
+    return evaluate.in_contest_share(rows).select("match_id", "rank", "player", "team", "award_probability")
+
+
 @register("m16_feature_importance")
 def _m16(spark, sf_dir):
     trained = learn.chase_task(

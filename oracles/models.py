@@ -17,7 +17,7 @@ SELECT model, count(*) AS support, count(*) FILTER (WHERE p >= 0.5 AND label = 1
 SELECT a.task, a.model AS best_model, r.model AS best_by_rmse FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY roc_auc DESC NULLS LAST, model) AS n FROM cand) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY task ORDER BY rmse, model) AS n FROM cand) r USING (task) WHERE a.n = 1 AND r.n = 1""",
     "reg": "SELECT l_returnflag AS model, l_quantity * 3 AS y, l_quantity * 3 + l_suppkey % 31 - 12 AS p FROM lineitem",
-    "top1": "SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY runs DESC, player DESC) AS n FROM aw5",
+    "top1": "SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY runs DESC, player DESC) AS n FROM aw5 WHERE target_is_award IS NOT NULL",
 }
 
 SQL = {
@@ -45,5 +45,11 @@ SELECT model, round(p, 6) AS threshold, CAST(sum(n) OVER w AS DOUBLE) / sum(n) O
 FROM (SELECT model, p, sum(1 - label) AS n, sum(label) AS q FROM pr GROUP BY model, p) WINDOW w AS (PARTITION BY model ORDER BY p DESC)""",
     "m17_comparison_table": """
 SELECT c.*, CASE model WHEN 'm1999' THEN 'old' WHEN 'm2001' THEN 'new' END AS family, model = best_model AS is_best FROM cand c JOIN bestc USING (task)""",
+    "m21_award_share": """
+SELECT match_id, rank, player, team, award_probability FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY match_id ORDER BY award_probability DESC, player) AS INTEGER) AS rank FROM (
+    SELECT match_id, player, team, round_even(runs * 100.0::DOUBLE / (CASE WHEN t = 0 THEN 1.0 ELSE t END), 2) AS award_probability
+    FROM (SELECT *, CAST(sum(runs) OVER (PARTITION BY match_id) AS DOUBLE) AS t FROM aw5)))
+WHERE rank <= 5""",
     "m10_top1_accuracy": "SELECT CAST(sum(target_is_award) AS DOUBLE) / count(*) AS top1_accuracy FROM top1 WHERE n = 1",
 }

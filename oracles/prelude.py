@@ -18,14 +18,20 @@ FROM lineitem"""
 
 CTES["lines"] = "SELECT *, batter_runs + extra_runs AS total_runs FROM raw"
 
+CTES["ordtop"] = """
+SELECT *, o_orderkey // 60 AS match_id,
+  row_number() OVER (PARTITION BY o_orderkey // 60 ORDER BY o_totalprice DESC, o_orderkey DESC) AS top,
+  avg(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY o_orderkey // 60) AS pending
+FROM orders"""
+
 CTES["fix"] = """
-SELECT o_orderkey // 60 AS match_id, o_custkey, o_orderdate AS start_datetime,
+SELECT match_id, o_custkey, o_orderdate AS start_datetime,
   CAST(o_orderdate AS DATE) AS match_date, CAST(year(o_orderdate) AS INTEGER) AS season,
-  o_orderstatus <> 'P' AS is_completed,
+  pending < 0.36 AS is_completed,
   CAST(c_nationkey % 10 AS BIGINT) AS team1_key,
   CAST((c_nationkey % 10 + 1 + o_custkey % 9) % 10 AS BIGINT) AS team2_key,
-  (o_orderkey // 60) % 25 AS place_key
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 60 = 0"""
+  match_id % 25 AS place_key
+FROM ordtop JOIN customer ON o_custkey = c_custkey WHERE top = 1"""
 
 CTES["hdr"] = """
 SELECT f.*, a.n_name AS team1, b.n_name AS team2, p.n_name AS venue, r_name AS city,
@@ -125,8 +131,11 @@ SELECT match_id, CAST(regexp_extract(player, '_P([0-9]+)$', 1) AS INTEGER) <> 10
   CAST(regexp_extract(player, '_P([0-9]+)$', 1) AS INTEGER) + 1 AS playing_order,
   CASE WHEN CAST(regexp_extract(player, '_P([0-9]+)$', 1) AS INTEGER) < 6 THEN 'batter' ELSE 'bowler' END AS role,
   player, team, season, match_date
-FROM (SELECT DISTINCT match_id, batter AS player, batting_team AS team, season, match_date FROM ev WHERE match_id % 13 <> 5
-      UNION SELECT DISTINCT match_id, bowler, bowling_team, season, match_date FROM ev WHERE match_id % 13 <> 5)"""
+FROM (SELECT DISTINCT match_id, batter AS player, batting_team AS team, season, match_date FROM ev
+      UNION SELECT DISTINCT match_id, bowler, bowling_team, season, match_date FROM ev)"""
+
+# Rosters with gaps, for the last-known-roster rule.
+CTES["rosgap"] = "SELECT * FROM ros WHERE match_id % 13 <> 5"
 
 # Scorecards derived from the event stream.
 CTES["app"] = """

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorebook import schemas
 from scorebook.operators import (
     actors,
     derive,
@@ -19,7 +20,6 @@ from scorebook.operators import (
     sides,
     standings,
 )
-from scorebook.plans import qualification
 from scorebook.sources import testdata as td
 from scorebook.sources import warehouse as wh
 
@@ -301,8 +301,11 @@ def _id(divisor):
 def _upsert(spark, sf_dir):
     stored = td.contests(spark, sf_dir).select("match_id", "match_key", "winner", "result_summary")
     arriving = (_id(3) == 0) | (_id(4) == 0)
-    incoming = stored.where(arriving).withColumn("result_summary", F.upper("result_summary"))
-    return maintain.upsert_contests(stored.where(_id(3) != 0), incoming)
+    last = stored.where(arriving).withColumn("result_summary", F.upper("result_summary"))
+    # Some keys were delivered before with another text; the last delivery counts.
+    early = stored.where(arriving & (_id(2) == 0)).withColumn("result_summary", F.lit("early"))
+    incoming = last.withColumn("delivery", F.lit(2)).unionByName(early.withColumn("delivery", F.lit(1)))
+    return maintain.upsert_contests(stored.where(_id(3) != 0), incoming, order=["delivery"])
 
 
 @register("k1_upsert_contests")
@@ -333,19 +336,25 @@ def _sides_dimension(spark, sf_dir):
 
 @register("k3_resolve_dimension")
 def _k3(spark, sf_dir):
+    return _grown(spark, sf_dir).select("name", F.when(~F.col("is_new"), F.col("id")).alias("known_id"))
+
+
+def _grown(spark, sf_dir):
     old = _sides_dimension(spark, sf_dir)
     head = td.headers(spark, sf_dir)
     names = head.select(F.explode(F.array("venue", "city")).alias("name"))
-    grown = maintain.resolve_dimension(names, old)
-    same = old.select("name", F.col("id").alias("old_id"))
-    return grown.join(same, "name", "left").agg(
-        F.count("*").alias("names"),
-        F.countDistinct("id").alias("keys"),
-        F.max("id").alias("highest_key"),
-        F.sum(F.when(F.col("id") == F.col("old_id"), 1).otherwise(0)).alias("unchanged"),
+    known = old.select("name", F.lit(False).alias("known"))
+    return maintain.resolve_dimension(names, old).join(known, "name", "left").withColumn(
+        "is_new", F.col("known").isNull()
     )
 
 
+@register("k3_new_keys")
+def _k3_new(spark, sf_dir):
+    """Keys of the new names: which name gets which is free, but they continue densely."""
+    return _grown(spark, sf_dir).where("is_new").select("id")
+
+
 @register("k3_attach_keys")
 def _k3_keys(spark, sf_dir):
     head = td.headers(spark, sf_dir).select("match_id", "venue")
@@ -537,6 +546,30 @@ def _q15(spark, sf_dir):
     )
 
 
+@register("q15_dedupe_children")
+def _q15_children(spark, sf_dir):
+    """Every child table with the rows of each third contest delivered twice."""
+    stream = history.shared(td.events(spark, sf_dir))
+    children = {
+        "periods": derive.period_totals(stream), "attack_cards": derive.attack_cards(stream),
+        "defence_cards": derive.defence_cards(stream), "dismissals": derive.dismissals(stream),
+        "stands": derive.stands(stream), "events": stream, "rosters": td.rosters(spark, sf_dir, stream),
+    }
+    out = None
+    for name, keys in schemas.CHILD_KEYS.items():
+        first = children[name].withColumn("ingest", F.lit(0))
+        both = first.unionByName(first.where(_id(3) == 0).withColumn("ingest", F.lit(1)))
+        before = both.agg(F.count("*").alias("rows_before"))
+        after = quality.dedupe(both, keys, ["ingest"]).agg(
+            F.count("*").alias("rows_after"), F.sum("ingest").alias("copies_kept")
+        )
+        rows = before.select(F.lit(name).alias("table_name"), "rows_before", F.lit(1).alias("one")).join(
+            after.withColumn("one", F.lit(1)), "one"
+        ).drop("one")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _issues(spark, sf_dir):
     return quality.validate(
         dirty_contests(spark, sf_dir), dirty_periods(spark, sf_dir), events=td.events(spark, sf_dir)
@@ -587,22 +620,14 @@ def _r2(spark, sf_dir):
     )
 
 
-@register("r5_qualification_odds")
-def _r5(spark, sf_dir):
-    return qualification.qualification_odds(
-        td.contests(spark, sf_dir), periods(spark, sf_dir, False), simulations=500
-    )
-
-
-@register("r7_what_if")
+@register("r7_forced_standings")
 def _r7(spark, sf_dir):
+    """The table as it would stand if the first side won every second open fixture."""
     league = td.contests(spark, sf_dir)
     forced = standings.remaining_fixtures(league).where(_id(2) == 0).select(
         "match_id", F.col("team1").alias("winner")
     )
-    return qualification.what_if(
-        league, periods(spark, sf_dir, False), forced, simulations=500
-    )
+    return standings.standings(standings.with_forced_results(league, forced))
 
 
 # History ---------------------------------------------------------------------
@@ -617,7 +642,8 @@ def card_tables(spark, sf_dir):
     the state before every contest read them."""
     stream = history.shared(td.events(spark, sf_dir))
     return (
-        derive.attack_cards(stream), derive.defence_cards(stream), td.rosters(spark, sf_dir, stream)
+        derive.attack_cards(stream), derive.defence_cards(stream),
+        td.rosters(spark, sf_dir, stream, with_gaps=True),
     )
 
 

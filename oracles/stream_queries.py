@@ -39,7 +39,7 @@ def _z1(spark, sf_dir):
     maintain.commit_version(stored, root + "/table", -1, None)
     query = live.incremental_load(
         rows(_stream(spark, sf_dir, "orders")),
-        lambda: maintain.read_current(spark, root + "/table"),
+        lambda batch: maintain.read_current(spark, root + "/table", below=batch),
         lambda table, batch: maintain.commit_version(table, root + "/table", batch, None) and None,
         root + "/checkpoint",
     )

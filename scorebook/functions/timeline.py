@@ -148,25 +148,37 @@ def rolling_before(
     """Add ``<name>_sum`` and ``<name>_n`` over the last n entries of a history.
 
     ``position`` counts the entries before a row; an entry carries a non-null
-    value and a row that is no entry carries null, so a RANGE frame over the
-    position sees exactly the last n entries whatever lies between them.
+    value and a row that is no entry carries null. The result depends on the
+    position alone, so rows are first reduced to one per (keys, position): a
+    history with any number of rows that are no entries still has windows of at
+    most ``chunk_rows`` plus n rows. The states then join back by position.
     """
     widest = max(n for _, n in frames.values())
     if widest >= chunk_rows:
         raise ValueError("a rolling frame must be shorter than a chunk")
-    place = F.col(position).cast("long")
-    chunk = F.floor(place / F.lit(chunk_rows)).cast("long")
-    near_end = place % chunk_rows >= chunk_rows - widest
-    spread = df.withColumn(
+    chunk = F.floor(F.col("__place") / F.lit(chunk_rows)).cast("long")
+    near_end = F.col("__place") % chunk_rows >= chunk_rows - widest
+    aliases = [f"__key_{i}" for i in range(len(keys))]
+    steps = df.groupBy(
+        *[F.col(c).alias(a) for c, a in zip(keys, aliases)], F.col(position).cast("long").alias("__place")
+    ).agg(
+        *[F.sum(value).alias(f"__sum_{name}") for name, (value, _) in frames.items()],
+        *[F.count(value).alias(f"__n_{name}") for name, (value, _) in frames.items()],
+    )
+    spread = steps.withColumn(
         "__chunk",
         F.explode(F.when(near_end, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))),
     ).withColumn("__copied", F.col("__chunk") != chunk)
     columns = {}
-    for name, (value, n) in frames.items():
+    for name, (_, n) in frames.items():
         lower, upper = (-(n - 1), 0) if inclusive else (-n, -1)
-        frame = (
-            Window.partitionBy(*keys, "__chunk").orderBy(place).rangeBetween(lower, upper)
-        )
-        columns[f"{name}_sum"] = F.sum(value).over(frame)
-        columns[f"{name}_n"] = F.count(value).over(frame)
-    return spread.withColumns(columns).where(~F.col("__copied")).drop("__chunk", "__copied")
+        frame = Window.partitionBy(*aliases, "__chunk").orderBy("__place").rangeBetween(lower, upper)
+        columns[f"{name}_sum"] = F.sum(f"__sum_{name}").over(frame)
+        columns[f"{name}_n"] = F.coalesce(F.sum(f"__n_{name}").over(frame), F.lit(0))
+    states = spread.withColumns(columns).where(~F.col("__copied")).select(*aliases, "__place", *columns)
+    condition = reduce(
+        lambda left, right: left & right,
+        [F.col(c).eqNullSafe(F.col(a)) for c, a in zip(keys, aliases)],
+        F.col(position).cast("long") == F.col("__place"),
+    )
+    return df.join(states, condition, "left").drop(*aliases, "__place")

@@ -159,12 +159,12 @@ def award_features(attack: DataFrame, defence: DataFrame, contests: DataFrame) -
     """One row per actor and contest with in-contest ranks and shares.
 
     Both card kinds are stacked and summed once, which also treats a missing side
-    as equal to a missing side.
+    as equal to a missing side. The award is only the label: null while it is open.
     """
     zero = F.lit(0).cast("long")
-    labels = contests.where("is_completed").select(
+    labels = contests.select(
         "match_id", "winner", "player_of_match", *(["season"] if "season" in contests.columns else [])
-    ).where(F.col("player_of_match").isNotNull())
+    )
     batting = ["runs", "balls", "fours", "sixes"]
     bowling = {
         "wickets": "wickets", "runs_conceded": "runs_conceded", "balls_bowled": "balls",
@@ -192,7 +192,9 @@ def award_features(attack: DataFrame, defence: DataFrame, contests: DataFrame) -
             "economy": economy,
             "boundary_runs": F.col("fours") * 4 + F.col("sixes") * 6,
             "team_won": flag(F.col("winner") == F.col("team")),
-            "target_is_award": flag(F.col("player_of_match") == F.col("player")),
+            "target_is_award": F.when(
+                F.col("player_of_match").isNotNull(), flag(F.col("player_of_match") == F.col("player"))
+            ),
         }
     ).withColumns(
         {

@@ -8,6 +8,7 @@ pointer, so a lost executor or driver leaves the previous version readable.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +18,20 @@ from scorebook import schemas
 from scorebook.functions.rates import count_where
 
 
+def last_delivery(incoming: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per key, the last by ``order``; reduced in the map tasks."""
+    rest = [c for c in incoming.columns if c != key]
+    return incoming.groupBy(key).agg(
+        F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")
+    ).select(key, "__last.*").select(*incoming.columns)
+
+
 def upsert_contests(
-    target: DataFrame, incoming: DataFrame, key: str = "match_key"
+    target: DataFrame, incoming: DataFrame, key: str = "match_key", order: Sequence[str] = ("match_id",)
 ) -> tuple[DataFrame, DataFrame]:
-    """(new table, one-row counts of inserted and updated)."""
+    """(new table, one-row counts of inserted and updated). Of a key that is delivered
+    more than once the last delivery by ``order`` counts."""
+    incoming = last_delivery(incoming, key, order)
     kept = target.join(incoming.select(key), key, "left_anti")
     table = kept.unionByName(incoming.select(*target.columns))
     stored = target.select(key, F.lit(True).alias("__stored"))
@@ -202,8 +213,12 @@ def export_slim(
 
 
 def commit_version(df: DataFrame, root: str, version: int, partition_by: str | None = "season") -> str:
-    """Write one version of a table and publish it last."""
-    path = f"{root}/version={version}"
+    """Write one version of a table and publish it last.
+
+    Every attempt has a folder of its own, so writing a version again never
+    touches files that a reader, or the attempt itself, is reading.
+    """
+    path = f"{root}/version={version}-{uuid.uuid4().hex}"
     if partition_by:
         # Rebalance gives few files per value and splits a value that is hot.
         writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
@@ -211,14 +226,30 @@ def commit_version(df: DataFrame, root: str, version: int, partition_by: str | N
         writer = df.write
     writer.mode("overwrite").parquet(path)
     spark = df.sparkSession
-    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{root}/versions_log")
+    row = spark.createDataFrame([(version, path)], "version long, path string")
+    row.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
+        f"{root}/versions_log"
+    )
     return path
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The last published version; the pointer is one small row."""
-    log = spark.read.schema("version long, path string").parquet(f"{root}/versions_log")
-    path = log.agg(F.max_by("path", "version").alias("path")).first()["path"]
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """One row per version: the path of its last published attempt."""
+    log = spark.read.schema("version long, path string, published_at timestamp").parquet(
+        f"{root}/versions_log"
+    )
+    return log.groupBy("version").agg(
+        F.max_by("path", F.struct("published_at", "path")).alias("path")
+    )
+
+
+def read_current(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
+    """The last published version, or the last one below a version number; the
+    pointer is one small row."""
+    versions = published(spark, root)
+    if below is not None:
+        versions = versions.where(F.col("version") < below)
+    path = versions.agg(F.max_by("path", "version").alias("path")).first()["path"]
+    if path is None:
+        raise ValueError(f"no published version below {root}" if below is None else f"no version before {below}: {root}")
     return spark.read.parquet(path)

@@ -35,20 +35,21 @@ def score_histogram(periods: DataFrame, bins: int = 30) -> DataFrame:
     scores = periods.where((F.col("innings_no") == 1) & F.col("runs").isNotNull()).select("runs")
     low = scores.select(F.min("runs")).scalar()
     high = scores.select(F.max("runs")).scalar()
-    spread = scores.select("runs", low.alias("low"), high.alias("high"))
+    mean = scores.select(F.avg("runs")).scalar()
+    spread = scores.select("runs", low.alias("low"), high.alias("high"), mean.alias("mean_runs"))
     bucket = F.when(F.col("high") == F.col("low"), F.lit(bins // 2)).otherwise(
         F.least(
             F.expr(f"((runs - low) * {bins}) div nullif(high - low, 0)"), F.lit(bins - 1)
         )
     )
-    return spread.groupBy(bucket.cast("int").alias("bin"), "low", "high").agg(
+    return spread.groupBy(bucket.cast("int").alias("bin"), "low", "high", "mean_runs").agg(
         F.count("*").alias("innings")
     ).select(
         "bin",
         (F.col("low") + F.col("bin") * (F.col("high") - F.col("low")) / F.lit(float(bins))).alias(
             "from_runs"
         ),
-        "innings",
+        "innings", "mean_runs",
     )
 
 

@@ -143,8 +143,11 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str], scale: boo
     return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def estimators(task: Task, effort: Effort, weighted: bool = False) -> dict[str, object]:
+def estimators(task: Task, effort: Effort, rows: int, weighted: bool = False) -> dict[str, object]:
+    """Candidates by family. Spark divides the loss by the rows, so a penalty of one on
+    the summed loss is 1 / rows here; only the forest weighs the classes."""
     weight = {"weightCol": "weight"} if weighted else {}
+    penalty = {"regParam": 1.0 / max(rows, 1), "standardization": False}
     forest = {
         "numTrees": effort.trees, "minInstancesPerNode": effort.min_rows_per_leaf,
         "seed": effort.seed, "labelCol": "label",
@@ -155,14 +158,16 @@ def estimators(task: Task, effort: Effort, weighted: bool = False) -> dict[str,
     }
     if task.classification:
         models = {
-            LINEAR: LogisticRegression(labelCol="label", maxIter=200, regParam=0.001, **weight),
+            LINEAR: LogisticRegression(labelCol="label", maxIter=200, **penalty),
             FOREST: RandomForestClassifier(maxDepth=effort.classifier_depth, **forest, **weight),
-            BOOSTED: GBTClassifier(**boosted, **weight),
+            BOOSTED: GBTClassifier(**boosted),
         }
     else:
         models = {
-            LINEAR: LinearRegression(labelCol="label", regParam=1.0, elasticNetParam=0.0),
-            FOREST: RandomForestRegressor(maxDepth=effort.regressor_depth, **forest),
+            LINEAR: LinearRegression(labelCol="label", elasticNetParam=0.0, **penalty),
+            FOREST: RandomForestRegressor(
+                maxDepth=effort.regressor_depth, featureSubsetStrategy="sqrt", **forest
+            ),
             BOOSTED: GBTRegressor(**boosted),
         }
     return {name: models[name] for name in effort.candidates}
@@ -215,7 +220,7 @@ def train(
         )
     models, scored = {}, None
     seconds = {}
-    for name, estimator in estimators(task, effort, weighted).items():
+    for name, estimator in estimators(task, effort, known["__n"], weighted).items():
         stages = preprocessing(numeric, task.categorical, scale=name == LINEAR)
         started = time.monotonic()
         models[name] = Pipeline(stages=[*stages, estimator]).fit(fit_rows)

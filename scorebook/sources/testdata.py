@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDERS_PER_CONTEST = 60
+# A contest is completed while fewer of its orders than this share are pending.
+PENDING_LIMIT = 0.36
+# Contests whose roster can be left out: match_id % 13 == 5.
+ROSTER_GAP = (13, 5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,19 +73,27 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("venue"),
         F.col("r_name").alias("city"),
     )
+    # The largest order of a bucket names its customer and day; the share of pending
+    # orders says whether the contest is over.
     order = (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderkey") % ORDERS_PER_CONTEST == 0)
-        .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+        .groupBy(F.expr(f"o_orderkey div {ORDERS_PER_CONTEST}").alias("match_id"))
+        .agg(
+            F.max_by(
+                F.struct("o_custkey", "o_orderdate"), F.struct("o_totalprice", "o_orderkey")
+            ).alias("top"),
+            (F.sum((F.col("o_orderstatus") == "P").cast("int")) / F.count(F.lit(1))).alias("pending"),
+        )
+        .select("match_id", "top.*", "pending")
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     fixture = order.join(customer, order.o_custkey == customer.c_custkey).select(
-        F.expr(f"o_orderkey div {ORDERS_PER_CONTEST}").alias("match_id"),
+        "match_id",
         "o_custkey",
         F.col("o_orderdate").alias("start_datetime"),
         F.col("o_orderdate").cast("date").alias("match_date"),
         F.year("o_orderdate").alias("season"),
-        (F.col("o_orderstatus") != "P").alias("is_completed"),
+        (F.col("pending") < PENDING_LIMIT).alias("is_completed"),
         (F.col("c_nationkey") % 10).cast("long").alias("team1_key"),
         ((F.col("c_nationkey") % 10 + 1 + F.col("o_custkey") % 9) % 10)
         .cast("long")
@@ -307,11 +319,15 @@ def contests(spark: SparkSession, sf_dir: str, award: bool = False) -> DataFrame
     )
 
 
-def rosters(spark: SparkSession, sf_dir: str, stream: DataFrame | None = None) -> DataFrame:
-    """Distinct batters and bowlers per contest and side; some contests published
-    no roster, which is what the last-known-roster rule is for."""
+def rosters(
+    spark: SparkSession, sf_dir: str, stream: DataFrame | None = None, with_gaps: bool = False
+) -> DataFrame:
+    """Distinct batters and bowlers per contest and side. ``with_gaps`` leaves some
+    contests without a roster, which is what the last-known-roster rule is for."""
     stream = events(spark, sf_dir) if stream is None else stream
-    stream = stream.where(F.col("match_id") % 13 != 5)
+    if with_gaps:
+        every, rest = ROSTER_GAP
+        stream = stream.where(F.col("match_id") % every != rest)
     seen = stream.select(
         "match_id", "season", "match_date",
         F.explode(

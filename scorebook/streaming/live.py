@@ -20,7 +20,7 @@ EVENT_KEY = ["match_id", "innings_no", "ball_seq"]
 
 def incremental_load(
     arrivals: DataFrame,
-    read_target: Callable[[], DataFrame],
+    read_target: Callable[[int], DataFrame],
     write_target: Callable[[DataFrame, int], None],
     checkpoint: str,
     key: str = "match_key",
@@ -28,19 +28,16 @@ def incremental_load(
 ) -> StreamingQuery:
     """Upsert every micro-batch of contest rows into the stored table.
 
-    ``read_target`` opens the current table and ``write_target`` publishes a new
-    version for a batch id, so a batch that is replayed after a failure writes the
-    same version again. Stored and completed contests are skipped.
+    ``read_target`` opens the newest version below a batch id and ``write_target``
+    publishes that batch's version, so a batch that is replayed after a failure
+    starts from the same table again. Stored and completed contests are skipped.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        target = read_target()
-        columns = [c for c in batch.columns if c != key]
-        once = batch.groupBy(key).agg(
-            F.max_by(F.struct(*columns), F.struct("is_completed", order)).alias("row")
-        ).select(key, "row.*").select(*batch.columns)
+        target = read_target(batch_id)
+        once = maintain.last_delivery(batch, key, ["is_completed", order])
         fresh = maintain.filter_incremental(once, target, key)
-        table, _ = maintain.upsert_contests(target, fresh, key)
+        table, _ = maintain.upsert_contests(target, fresh, key, [order])
         write_target(table, batch_id)
 
     return (
