@@ -85,7 +85,7 @@ class Bundle:
             near = np.empty(0, np.int64)
             if len(whole) and len(hits):
                 blocks = windows(sums, ANCHOR)[::STEP]
-                hit = np.isin(blocks, hits)
+                hit = hits[np.minimum(np.searchsorted(hits, blocks), len(hits) - 1)] == blocks
                 own = -(-np.arange(len(whole)) // STEP)  # the block that the window contains
                 near = np.flatnonzero(hit[own])
             starts.append(near)
