@@ -33,3 +33,8 @@ FORM_SHORT = 5
 FORM_LONG = 10
 ERA_WINDOW = 40
 PLACE_RECENT_WINDOW = 10
+
+# Weights of the impact scores.
+PAR_STRIKE_RATE = 130
+WICKET_IMPACT = 20
+PAR_ECONOMY = 8

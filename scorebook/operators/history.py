@@ -23,6 +23,7 @@ UNDATED = "9000-01-01"
 REQUESTED_FROM = "9001-01-01"
 REQUEST_DAYS = 4096
 
+# The feature contract.
 NUMERIC = [
     "season", "team1_is_home", "is_neutral_venue", "is_playoff", "toss_winner_is_team1",
     "toss_decision_is_bat", "team1_career_win_rate", "team2_career_win_rate", "team1_form_short",
@@ -39,6 +40,7 @@ NUMERIC = [
     "team1_xi_experience", "team2_xi_experience", "xi_batting_average_diff",
     "xi_strike_rate_diff", "xi_bowling_economy_diff", "xi_experience_diff", "has_xi_data",
 ]
+# The feature contract.
 CATEGORICAL = ["team1", "team2", "venue", "toss_decision"]
 
 # One value per side, emitted as team1_<name> and team2_<name>.
@@ -496,6 +498,7 @@ def _assemble(
     )
 
 
+# The feature contract.
 SCORE_NUMERIC = [
     "season", "is_neutral_venue", "is_playoff", "batting_is_home", "batting_won_toss",
     "batting_career_win_rate", "batting_form_short", "bowling_form_short",
@@ -504,6 +507,7 @@ SCORE_NUMERIC = [
     "venue_recent_avg_score", "batting_xi_batting_average", "batting_xi_strike_rate",
     "bowling_xi_bowling_economy",
 ]
+# The feature contract.
 SCORE_CATEGORICAL = ["batting_team", "bowling_team", "venue"]
 
 

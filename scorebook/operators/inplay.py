@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from scorebook import constants as k
 from scorebook.functions.rates import flag, ratio, rounded
 
+# The feature contract.
 CHASE_NUMERIC = [
     "target", "current_runs", "wickets_fallen", "wickets_in_hand", "balls_bowled",
     "balls_remaining", "runs_required", "current_run_rate", "required_run_rate",
     "run_rate_pressure", "over_no", "runs_last_5_overs", "wickets_last_5_overs",
     "chase_progress", "is_powerplay", "is_death",
 ]
+# The feature contract.
 CHASE_CATEGORICAL = ["batting_team", "bowling_team", "venue"]
+# The feature contract.
 AWARD_NUMERIC = [
     "runs", "balls", "fours", "sixes", "strike_rate", "boundary_runs", "wickets", "runs_conceded",
     "balls_bowled", "maidens", "economy", "batting_impact", "bowling_impact", "total_impact",
@@ -199,9 +202,9 @@ def award_features(attack: DataFrame, defence: DataFrame, contests: DataFrame) -
     ).withColumns(
         {
             "batting_impact": F.col("runs")
-            + (F.col("strike_rate") - 130) * F.col("balls") / F.lit(100.0),
-            "bowling_impact": F.col("wickets") * 20
-            - (F.col("economy") - 8) * (F.col("balls_bowled") / F.lit(float(k.BALLS_PER_OVER))),
+            + (F.col("strike_rate") - k.PAR_STRIKE_RATE) * F.col("balls") / F.lit(100.0),
+            "bowling_impact": F.col("wickets") * k.WICKET_IMPACT
+            - (F.col("economy") - k.PAR_ECONOMY) * (F.col("balls_bowled") / F.lit(float(k.BALLS_PER_OVER))),
         }
     ).withColumn("total_impact", F.col("batting_impact") + F.col("bowling_impact"))
     return within_contest(rows, ["total_impact", "runs", "wickets"]).drop(

@@ -217,7 +217,8 @@ def test_canonical_place(spark, value, expected):
 @pytest.mark.parametrize(
     "value, expected",
     [("A  Person (c)", "A Person"), ("A Person (c/wk)", "A Person"), ("A Person (ALP)", "A Person"),
-     ("A Person (Other)", "A Person (Other)")],
+     ("A Person (Other)", "A Person (Other)"), ("A Person ( WK )", "A Person"), ("A Person (sub)", "A Person"),
+     ("A (B) Person", "A (B) Person"), (None, None), ("", None)],
 )
 def test_canonical_actor(spark, value, expected):
     assert _value(spark, value, lambda c: t.canonical_actor(c, SPEC)) == expected
@@ -228,7 +229,9 @@ def test_canonical_actor(spark, value, expected):
     [("c F One b B Two", "caught", True, "B Two", "F One"), ("b B Two", "bowled", True, "B Two", None),
      ("run out (F One/K)", "run out", True, None, "F One"), ("not out", "not out", False, None, None),
      ("st K b B Two", "stumped", True, "B Two", "K"), ("lbw b B Two", "lbw", True, "B Two", None),
-     ("retired hurt", "retired hurt", False, None, None), ("", None, False, None, None)],
+     ("retired hurt", "retired hurt", False, None, None), ("", None, False, None, None),
+     ("c and b B Two", "caught and bowled", True, "B Two", None), ("C F One B B Two", "caught", True, "B Two", "F One"),
+     ("hit wicket b B Two", "hit wicket", True, "B Two", None)],
 )
 def test_dismissals_text(spark, value, kind, out, bowler, fielder):
     got = _value(spark, value, lambda c: t.parse_dismissal(c, SPEC))
@@ -239,13 +242,43 @@ def test_dismissals_text(spark, value, kind, out, bowler, fielder):
     "value, winner, kind",
     [("Beta Won by 6 Runs (Winners)", "Beta", "runs"), ("Alpha Town won by 4 wickets", "Alpha", "wickets"),
      ("Match Tied (Beta Won the One Over Eliminator)", "Beta", "tie"),
-     ("Match Abandoned without a ball bowled", None, "no result")],
+     ("Match Abandoned without a ball bowled", None, "no result"), ("Beta WON BY 6 runs", "Beta", "runs"),
+     ("Match tied", None, "tie"), ("something else", None, None), (None, None, None)],
 )
 def test_result_text(spark, value, winner, kind):
     got = _value(spark, value, lambda c: t.parse_result(c, SPEC))
     assert (got.winner, got.result_type) == (winner, kind)
 
 
+@pytest.mark.parametrize(
+    "value, expected",
+    [("190/9 (20.0 Ov)", (190, 9, 20.0, 120)), ("Total 7 / 0 ( 1.4 OV", (7, 0, 1.4, 10)), ("190/9", (None,) * 4),
+     ("190 (20 Ov)", (None,) * 4), ("", (None,) * 4), (None, (None,) * 4)],
+)
+def test_innings_summary(spark, value, expected):
+    assert tuple(_value(spark, value, t.parse_innings_summary)) == expected
+
+
+def test_a_key_delivered_twice_keeps_the_last_delivery(spark):
+    stored = spark.createDataFrame([("a", 1), ("b", 1)], "match_key string, score long")
+    incoming = spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "match_key string, score long, at long")
+    table, counts = maintain.upsert_contests(stored, incoming, order=["at"])
+    assert sorted(map(tuple, table.collect())) == [("a", 1), ("b", 3), ("c", 4)]
+    assert tuple(counts.first()) == (1, 1)
+
+
+def test_a_replayed_batch_leaves_the_table_whole(spark, tmp_path):
+    root = str(tmp_path / "table")
+    maintain.commit_version(spark.range(300_000).withColumn("origin", F.lit("stored")), root, -1, None)
+    for _ in range(3):  # batch 0 is run again after a failure
+        target = maintain.read_current(spark, root, below=0)
+        maintain.commit_version(target.withColumn("origin", F.lit("batch 0")), root, 0, None)
+    current = maintain.read_current(spark, root)
+    assert current.count() == 300_000 and current.select("origin").distinct().count() == 1
+    assert maintain.published(spark, root).count() == 2
+    assert maintain.read_current(spark, root, below=0).where("origin = 'stored'").count() == 300_000
+
+
 def test_overs_round_trip(spark):
     rows = spark.range(121).select(
         F.col("id"), t.overs_to_balls(t.balls_to_overs(F.col("id").cast("string"))).alias("back")

@@ -39,6 +39,23 @@ def test_running_is_strictly_before(spark):
         assert got[match_id] == (sum(own), max(own, default=None), len(earlier))
 
 
+def test_rows_that_are_no_entries_never_gather_in_one_window(spark):
+    """20,000 rows of which 15,000 share one position: windows stay below chunk plus frame."""
+    df = spark.range(20_000).select(
+        F.col("id").alias("match_id"), F.lit("hot").alias("entity"),
+        F.least("id", F.lit(5000)).alias("place"),
+        F.when(F.col("id") < 5000, F.col("id") % 7).alias("value"),
+    )
+    rolled = rolling_before(df, ["entity"], "place", {"last": (F.col("value"), 10)}, chunk_rows=512)
+    windows = rolled._jdf.queryExecution().executedPlan().toString()
+    assert windows.index("Window") < windows.index("HashAggregate")  # rows are reduced by position first
+    assert rolled.count() == 20_000
+    last = rolled.where("match_id >= 5000").select("last_sum", "last_n").distinct().collect()
+    assert [tuple(r) for r in last] == [(sum(i % 7 for i in range(4990, 5000)), 10)]
+    steps = df.groupBy("entity", "place").count()
+    assert steps.count() == 5001  # what the windows see
+
+
 def test_rolling_counts_entries_across_chunks(spark):
     rows = _rows()
     df = spark.createDataFrame(rows, "match_id long, entity string, match_date date, value int")
