@@ -34,15 +34,17 @@ END_ID = 1
 #: Documents per packing group.
 GROUP_ROWS = 6000
 #: Entries of a worker's word tables; words met later go through the tokenizer again.
-WORD_CACHE = 400_000
-CORE_CACHE = 900_000
+WORD_CACHE = 300_000
+CORE_CACHE = 750_000
 #: Failed tries in a row after which the local search of a group ends.
 PATIENCE = 150
 #: Most steps of a group's search.
 STEPS = 20_000
 
-#: Letters whose lower case and normal form are single letters, then plain punctuation.
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)$")
+#: Letters whose lower case and normal form are single letters, then ASCII signs but no apostrophe.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$")
+#: Longer words than this are not kept.
+WORD_BYTES = 64
 
 
 class WordIds:
@@ -81,8 +83,8 @@ class WordIds:
             if match[2]:
                 found += self._core(match[2])
         else:
-            return self.encode(text)
-        if len(self.words) < WORD_CACHE:
+            found = self.encode(text)
+        if len(self.words) < WORD_CACHE and len(word) <= WORD_BYTES:
             self.words[word] = found
         return found
 
