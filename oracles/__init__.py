@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import analytics, derive, features, feeds, loads, models, streams
+    from oracles import analytics, derive, features, feeds, loads, models, stored, streams
     from oracles.prelude import with_prelude
 
-    modules = (derive, analytics, loads, features, feeds, models, streams)
+    modules = (derive, analytics, loads, features, feeds, models, streams, stored)
     extra: dict[str, str] = {}
     for module in modules:
         extra |= getattr(module, "CTES", {})

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,15 @@ WAREHOUSE_TABLES = (
 )
 
 
+# What a load publishes: a row per table and season, the newest version counts.
+CURRENT = "_manifest"
+MANIFEST = "version long, table string, season int, path string, published_at timestamp"
+# Tables stored in one folder per season.
+SEASONAL = (
+    "contests", "periods", "attack_cards", "defence_cards", "dismissals", "stands", "events", "rosters",
+)
+
+
 class Warehouse:
     """The stored tables, each a DataFrame with the schema of ``schemas.TABLES``.
 
@@ -35,11 +45,30 @@ class Warehouse:
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
-    def at(cls, spark: SparkSession, root: str) -> Warehouse:
-        """Read a warehouse written by :func:`create_tables` and the load jobs."""
-        return cls(
-            lambda name: spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
-        )
+    def at(cls, spark: SparkSession, root: str, below: int | None = None) -> Warehouse:
+        """Read a warehouse: what loads have published (before version ``below``), and
+        the plain folders of :func:`create_tables` and exports for the rest."""
+        paths = published_paths(spark, root, below)
+
+        def open_table(name: str, keep_season: bool = False) -> DataFrame:
+            schema = schemas.TABLES[name]
+            seasonal = name in SEASONAL
+            stored = schema if name == "contests" or not seasonal else f"{schema}, season int"
+            if name in paths:
+                frame = spark.read.schema(stored).option("basePath", f"{root}/{name}").parquet(*paths[name])
+            elif paths or below is not None:
+                frame = spark.createDataFrame([], stored)
+            else:
+                return spark.read.schema(schema).parquet(f"{root}/{name}")
+            names = [c.split()[0] for c in stored.split(", ")]
+            return frame.select(*names) if keep_season or name == "events" else frame.select(
+                *[c.split()[0] for c in schema.split(", ")]
+            )
+
+        return cls(open_table)
+
+    def open(self, name: str, **options: bool) -> DataFrame:
+        return self._open(name, **options)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in WAREHOUSE_TABLES:
@@ -52,6 +81,25 @@ class Warehouse:
         return {name: getattr(self, name) for name in WAREHOUSE_TABLES}
 
 
+def published_paths(spark: SparkSession, root: str, below: int | None = None) -> dict[str, list[str]]:
+    """Folders of every table by the manifest; the manifest has a row per load, table and season."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{root}/{CURRENT}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    if below is not None:
+        rows = rows.where(F.col("version") < below)
+    last = rows.groupBy("table", "season").agg(
+        F.max_by("path", F.struct("version", "published_at", "path")).alias("path")
+    )
+    found: dict[str, list[str]] = {}
+    for row in last.orderBy("table", "season").collect():
+        found.setdefault(row["table"], []).append(row["path"])
+    return found
+
+
 def create_tables(spark: SparkSession, root: str, drop_existing: bool = False) -> list[str]:
     """Write every table empty with its schema; existing ones are kept unless asked."""
     mode = "overwrite" if drop_existing else "ignore"
@@ -175,6 +223,9 @@ def load_events(
     if season is not None:
         context = context.where(F.col("season") == season)
     frame = wh.events
+    if "season" in frame.columns:
+        # Stored by season: the filter leaves out whole folders.
+        frame = (frame if season is None else frame.where(F.col("season") == season)).drop("season")
     if match_ids is not None:
         if not isinstance(match_ids, DataFrame):
             match_ids = wh.events.sparkSession.createDataFrame(
