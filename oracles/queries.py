@@ -800,9 +800,9 @@ def _c2(spark, sf_dir):
 
 
 def awards(spark, sf_dir):
+    stream = history.shared(td.events(spark, sf_dir))
     return inplay.award_features(
-        attack(spark, sf_dir, False), defence(spark, sf_dir, False),
-        td.contests(spark, sf_dir, award=True),
+        derive.attack_cards(stream), derive.defence_cards(stream), td.contests(spark, sf_dir, award=True)
     )
 
 

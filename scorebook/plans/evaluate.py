@@ -16,24 +16,32 @@ from pyspark.sql import functions as F
 from scorebook.functions.rates import count_where, flag, ratio
 from scorebook.functions.timeline import Running, running, shared
 
-SCORE_RANGES = 128
+# Distinct scores of a range on average, and the least and most ranges of a key.
+RANGE_SCORES = 20_000
+LEAST_RANGES, MOST_RANGES = 128, 4096
 LOWER_IS_BETTER = ("rmse", "mae", "log_loss", "brier", "mean_error")
 
 
 def _per_score(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct score, with a range number that grows
-    as the score falls."""
-    fractions = F.array(*[F.lit(i / SCORE_RANGES) for i in range(1, SCORE_RANGES)])
+    as the score falls. Every key has cuts of its own, as many as its scores need."""
     table = shared(
         predictions.groupBy(*keys, "probability").agg(
             count_where(F.col("label") == 1).alias("positives"),
             count_where(F.col("label") == 0).alias("negatives"),
         )
     )
-    cuts = table.select(F.percentile_approx("probability", fractions, F.lit(10000))).scalar()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, table.count() // RANGE_SCORES))
+    fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cut = F.percentile_approx("probability", fractions, F.lit(10 * MOST_RANGES))
+    if keys:
+        cuts = table.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(cut.alias("__cuts"))
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+        table = table.join(cuts, same).drop(*[f"__{c}" for c in keys])
+    else:
+        table = table.withColumn("__cuts", table.select(cut).scalar())
     return shared(
-        table.withColumn("__cuts", cuts)
-        .withColumn(
+        table.withColumn(
             "score_range",
             -F.size(F.filter("__cuts", lambda cut: cut < F.col("probability"))),
         )
