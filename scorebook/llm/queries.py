@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +53,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One index per corpus folder, built anew: the query is about all documents.
-    name = f"llm_digest_index_{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
-    index = exact.DigestIndex(spark, name)
-    index.clear()
+    # An index of its own for each run: the query is about all documents, and a
+    # session without a metastore does not know what folders an earlier one left.
+    index = exact.DigestIndex(spark, f"llm_digest_index_{uuid.uuid4().hex}")
     return exact.deduplicate(table(spark, sf_dir, "documents"), index).drop("id_key", "text_key")
 
 
