@@ -45,23 +45,30 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes) -> int:
-    """Majority bits of the shingles' hashes; bit k of the result is bit k of the hashes."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hash of every run of `width` words; a shorter text is one shingle."""
     words = text.lower().split()
     if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < width:
+        return np.array([_hash(b" ".join(words))], np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
+    return np.fromiter(map(_hash, shingles), np.uint64, len(words) - width + 1)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    if len(words) < SHINGLE:
-        shingles = iter([b" ".join(words)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-        n = len(words) - SHINGLE + 1
-    hashes = np.fromiter(map(_hash, shingles), np.uint64, n)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > n
+    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(majority, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes) -> int:
+    """Majority bits of the shingles' hashes; bit k of the result is bit k of the hashes."""
+    return majority_bits(shingle_hashes(text, SHINGLE))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (as a signed long), id_key, text_key of every document."""
 
@@ -113,7 +120,7 @@ def tiles(distinct: DataFrame) -> DataFrame:
 
 
 def near_pairs(
-    fps: np.ndarray, group: np.ndarray, side: np.ndarray
+    fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int = RADIUS
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (query, lane) of near fingerprints inside each group, some at a time; rows are sorted by group."""
     asked = np.flatnonzero(side >= 1)
@@ -140,7 +147,7 @@ def near_pairs(
         stop = max(at + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
         q = np.repeat(queries[at:stop], many[at:stop])
         w = np.repeat(low[at:stop] - (ends[at:stop] - many[at:stop] - done), many[at:stop]) + np.arange(len(q))
-        near = _compare(fps[q], w, planes, valid)
+        near = _compare(fps[q], w, planes, valid, radius)
         some = np.flatnonzero(near)
         bits = np.unpackbits(near[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, column = np.nonzero(bits)
@@ -150,23 +157,26 @@ def near_pairs(
         at = stop
 
 
-def _compare(query: np.ndarray, word: np.ndarray, planes: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """For each (query, word) pair the lanes within RADIUS, as bits; two-bit carry-save counters."""
+def _compare(query: np.ndarray, word: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each (query, word) pair the lanes within `radius`, as bits; carry-save counters that overflow beyond it."""
     result = np.zeros(len(query), np.uint64)
     alive = np.arange(len(query))
-    ones, twos, over = np.zeros_like(result), np.zeros_like(result), ~valid[word]
+    width = radius.bit_length()
+    # The counters start so high that difference radius + 1 is the one that overflows.
+    start = (1 << width) - 1 - radius
+    counter = [np.full_like(result, _ALL if start >> k & 1 else 0) for k in range(width)]
+    over = ~valid[word]
     for p in range(64):
         flip = np.where((query >> np.uint64(p)) & np.uint64(1), _ALL, np.uint64(0))
-        differ = planes[p][word] ^ flip
-        carry = ones & differ
-        ones = ones ^ differ
-        over |= twos & carry
-        twos = twos ^ carry
+        carry = planes[p][word] ^ flip
+        for k in range(width):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        over |= carry
         if p % PLANES_PER_CHECK == PLANES_PER_CHECK - 1:
             stay = over != _ALL
             if not stay.all():
                 alive, query, word = alive[stay], query[stay], word[stay]
-                ones, twos, over = ones[stay], twos[stay], over[stay]
+                counter, over = [c[stay] for c in counter], over[stay]
                 if not len(alive):
                     return result
     result[alive] = ~over
@@ -190,49 +200,54 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (as longs) of batches that are sorted by their first three columns; no group is split."""
+    kept: list[np.ndarray] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+        # Everything before the last group of the batch is complete.
+        same = np.all(rows[:, :3] == rows[-1, :3], axis=1)
+        cut_at = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if last is not None and cut_at:
+            yield np.concatenate([*kept, rows[:cut_at]])
+            kept = [rows[cut_at:]]
+        elif cut_at:
+            yield rows[:cut_at]
+            kept = [rows[cut_at:]]
+        elif last is not None and (last != rows[0, :3]).any():
+            yield np.concatenate(kept)
+            kept = [rows]
+        else:
+            kept.append(rows)
+        last = rows[-1, :3]
+    if kept:
+        yield np.concatenate(kept)
+
+
+def group_numbers(rows: np.ndarray) -> np.ndarray:
+    change = np.any(rows[1:, :3] != rows[:-1, :3], axis=1)
+    return np.concatenate([[0], np.cumsum(change)])
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: for each tile a spanning forest of its links; u > v."""
     ship(distinct.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        last = None
-
-        def work(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.any(rows[1:, :3] != rows[:-1, :3], axis=1)
-            group = np.concatenate([[0], np.cumsum(change)])
+        for rows in whole_groups(batches):
             label = every = np.arange(len(rows))
             fps = np.ascontiguousarray(rows[:, 3]).view(np.uint64)
-            for left, right in near_pairs(fps, group, rows[:, 4]):
+            for left, right in near_pairs(fps, group_numbers(rows), rows[:, 4]):
                 label = forest(len(rows), np.concatenate([every, left]), np.concatenate([label, right]))
             u, v = rows[:, 3], rows[label, 3]
             moved = u != v
-            return pa.RecordBatch.from_pydict({
+            yield pa.RecordBatch.from_pydict({
                 "u": pa.array(np.maximum(u, v)[moved], pa.int64()), "v": pa.array(np.minimum(u, v)[moved], pa.int64()),
             })
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            # Everything before the last group of the batch is complete.
-            same = np.all(rows[:, :3] == rows[-1, :3], axis=1)
-            cut_at = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last is not None and cut_at:
-                yield work(np.concatenate([*kept, rows[:cut_at]]))
-                kept = [rows[cut_at:]]
-            elif cut_at:
-                yield work(rows[:cut_at])
-                kept = [rows[cut_at:]]
-            elif last is not None and (last != rows[0, :3]).any():
-                yield work(np.concatenate(kept))
-                kept = [rows]
-            else:
-                kept.append(rows)
-            last = rows[-1, :3]
-        if kept:
-            yield work(np.concatenate(kept))
-
     dealt = tiles(distinct).select("key", "a", "b", "fp", "side")
     laid = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp")
     return laid.mapInArrow(run, "u long, v long").distinct()
