@@ -11,6 +11,10 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def mean_one(counts: np.ndarray) -> np.ndarray:
+    return counts / counts.mean() if len(counts) else counts
+
+
 class SparseRows:
     """Rows of (index, value) pairs in one flat pair of arrays."""
 
@@ -31,16 +35,17 @@ class SparseRows:
 
 
 def logistic(
-    rows: SparseRows, labels: np.ndarray, size: int, penalty: float = 1.0, steps: int = 120
+    rows: SparseRows, labels: np.ndarray, size: int, penalty: float = 1.0, steps: int = 120, counts: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of L2-penalised logistic regression, by accelerated gradient steps."""
+    """Weights and bias of L2-penalised logistic regression, by accelerated gradient steps; row i counts `counts[i]` times."""
     n = max(len(rows), 1)
+    counts = mean_one(np.ones(n) if counts is None else counts)
     weights, bias = np.zeros(size), 0.0
     ahead, ahead_bias = weights.copy(), bias
     norms = np.bincount(rows.row, rows.value**2, len(rows)) if len(rows) else np.zeros(1)
     rate = 4.0 / (norms.max() + 1.0 + 4.0 * penalty / n)
     for step in range(steps):
-        error = labels - sigmoid(rows.dot(ahead) + ahead_bias)
+        error = counts * (labels - sigmoid(rows.dot(ahead) + ahead_bias))
         gradient = rows.back(error, size) / n - penalty / n * ahead
         new, new_bias = ahead + rate * gradient, ahead_bias + rate * error.mean()
         momentum = step / (step + 3.0)
@@ -49,16 +54,17 @@ def logistic(
     return weights, float(bias)
 
 
-def platt(scores: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset that turn scores into probabilities, by Newton steps."""
+def platt(scores: np.ndarray, labels: np.ndarray, steps: int = 60, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset that turn scores into probabilities, by Newton steps; row i counts `counts[i]` times."""
+    counts = mean_one(np.ones(len(labels)) if counts is None else counts)
     positives = labels.sum()
     target = np.where(labels > 0, (positives + 1) / (positives + 2), 1 / (len(labels) - positives + 2))
     x = np.stack([scores, np.ones_like(scores)])
     fit = np.array([1.0, 0.0])
     for _ in range(steps):
         p = sigmoid(fit @ x)
-        slope = x @ (target - p) - 1e-3 * (fit - [1.0, 0.0])
-        curve = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        slope = x @ (counts * (target - p)) - 1e-3 * (fit - [1.0, 0.0])
+        curve = (x * (counts * p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
         move = np.linalg.solve(curve, slope)
         fit = fit + np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-6:

@@ -2,7 +2,9 @@
 
 The model is logistic regression over hashed word and character n-grams of a
 sample of labelled rows (at most SAMPLE of them, the bound of the fit), calibrated
-on a part of the sample that the weights never saw. All documents are scored in
+on a part of the sample that the weights never saw. Where a label has more rows than
+the sample takes, its rows count for the others too, so the ratio of the labels and
+with it the threshold do not move with the input's size. All documents are scored in
 Arrow batches against fixed thresholds.
 
 Defined cases: a null or empty text has no words and fails the rules; without
@@ -112,6 +114,7 @@ def fit(rows: list[dict]) -> dict | None:
         key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["text"]),
     )
     labels = np.array([float(r["label"]) for r in rows])
+    counts = np.array([r["stands_for"] for r in rows])
     if len(rows) < 20 or labels.min() == labels.max():
         return None
     made = []
@@ -120,21 +123,30 @@ def fit(rows: list[dict]) -> dict | None:
         made.append(features(text, word_hashes(text.split())))
     held = np.arange(len(rows)) % 5 == 0
     data = SparseRows([made[i] for i in np.flatnonzero(~held)])
-    weights, bias = logistic(data, labels[~held], SIZE, penalty=0.05, steps=200)
+    weights, bias = logistic(data, labels[~held], SIZE, penalty=0.05, steps=200, counts=counts[~held])
     scores = SparseRows([made[i] for i in np.flatnonzero(held)]).dot(weights) + bias
-    slope, offset = platt(scores, labels[held])
+    slope, offset = platt(scores, labels[held], counts=counts[held])
     return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, zeros: int, ones: int, rest_of: int | None = None
 ) -> DataFrame:
-    """doc_id, text, label of at most so many rows of each label; `rest_of` leaves out ids whose checksum it divides."""
+    """doc_id, text, label, stands_for of at most so many rows of each label.
+
+    `rest_of` leaves out ids whose checksum it divides; stands_for is the number of labelled rows to one of the sample.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     if rest_of:
         known = known.where(id_checksum(F.col("doc_id")) % rest_of != 0)
-    chosen = sample_ids(known.where("label = 0"), zeros).union(sample_ids(known.where("label = 1"), ones))
+    whole = {r["label"]: r["count"] for r in known.where("label in (0, 1)").groupBy("label").count().collect()}
+
+    def some(label: int, limit: int) -> DataFrame:
+        times = max(1.0, whole.get(label, 0) / limit)
+        return sample_ids(known.where(F.col("label") == label), limit).withColumn("stands_for", F.lit(times))
+
+    chosen = some(0, zeros).union(some(1, ones))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
 

@@ -165,18 +165,22 @@ def learn_lexicon(rows: list[dict]) -> Lexicon:
     contexts there, so copies of one sentence count once.
     """
     words = [_WORD.findall(r["text"].lower()) for r in rows]
+    # Rows that are not toxic stand for more or fewer of the input than toxic ones do.
+    stands = [[r.get("stands_for", 1.0) for r in rows if bool(r["label"]) == kind] for kind in (False, True)]
+    times = np.mean(stands[0] or 1.0) / np.mean(stands[1] or 1.0)
     toxic_rows = [w for w, r in zip(words, rows) if r["label"]]
     other_rows = [w for w, r in zip(words, rows) if not r["label"]]
     mass = sum(map(len, toxic_rows))
-    share = min(0.5, max(0.02, mass / max(1, sum(map(len, words)))))
+    share = min(0.5, max(0.02, mass / max(1, mass + times * sum(map(len, other_rows)))))
     gain, loss = math.log(PURITY / share), math.log((1 - PURITY) / (1 - share))
     toxic: Counter[str] = Counter()
     for w in toxic_rows:
         toxic.update(_terms(set(w)))
     toxic = {t: n for t, n in toxic.items() if n * gain >= EVIDENCE}
-    other: Counter[str] = Counter()
+    seen: Counter[str] = Counter()
     for w in other_rows:
-        other.update(t for t in _terms(set(w)) if t in toxic)
+        seen.update(t for t in _terms(set(w)) if t in toxic)
+    other = Counter({t: n * times for t, n in seen.items()})
     toxic = {t: n for t, n in toxic.items() if n * gain + other[t] * loss >= EVIDENCE}
     contexts: dict[str, set] = defaultdict(set)
     covered: dict[str, Counter] = defaultdict(Counter)
@@ -216,6 +220,7 @@ def fit(rows: list[dict]) -> dict:
     """Lexicon from one half, weights of the outputs from the other half, then terms from all."""
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["text"]))
     labels = np.array([float(r["label"]) for r in rows])
+    counts = np.array([r["stands_for"] for r in rows])
     fallback = np.array([1.5, 0.2, 0.8, 0.8, 1.5, 0.5, 0.3])
     if len(rows) < 20 or labels.min() == labels.max():
         return {"lexicon": Lexicon({w: 1.0 for w in INSULTS}, {}), "weights": fallback, "bias": -2.0}
@@ -223,7 +228,7 @@ def fit(rows: list[dict]) -> dict:
     machine = Machine(learn_lexicon([r for r, h in zip(rows, half) if h]))
     made = [machine.outputs(r["text"]) for r, h in zip(rows, half) if not h]
     data = SparseRows([(np.arange(len(OUTPUTS)), m) for m in made])
-    weights, bias = logistic(data, labels[~half], len(OUTPUTS), penalty=0.02, steps=4000)
+    weights, bias = logistic(data, labels[~half], len(OUTPUTS), penalty=0.02, steps=4000, counts=counts[~half])
     return {"lexicon": learn_lexicon(rows), "weights": np.maximum(weights, 0.0), "bias": bias}
 
 

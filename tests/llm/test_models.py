@@ -166,3 +166,31 @@ def test_logistic_and_trees():
     assert np.mean((x @ weights + bias > 0) == y) > 0.97
     slope, offset = learn.platt(x @ weights + bias, y)
     assert slope > 0 and abs(learn.sigmoid(slope * (x @ weights + bias) + offset).mean() - y.mean()) < 0.02
+
+
+def test_threshold_stays_when_the_caps_bind(spark, make, monkeypatch):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for k in range(1500):
+        # A third of the texts are mixed: 70 % of them good, 30 % of them toxic.
+        mixed = k % 3 == 0
+        good, toxic = (rng.random() < 0.7, rng.random() < 0.3) if mixed else (k % 30 > 1, k % 30 == 1)
+        w = words(rng, "en", 40) + (["umbra"] * 6 if mixed else ["zorgo"] if toxic else ["***"] * 6 if not good else [])
+        rows.append((k, " ".join(w), "en", "a"))
+        labels.append((k, int(good), int(toxic)))
+    docs, labels = make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = quality.train(docs, labels), toxicity.train(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE", 300)
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 120)
+    monkeypatch.setattr(toxicity, "OTHER_ROWS", 240)
+    sample = quality.labelled_sample(docs, labels, "quality", 150, 150).collect()
+    assert len(sample) == 300 and sum(r.stands_for for r in sample) == pytest.approx(1500)
+    capped = quality.train(docs, labels), toxicity.train(docs, labels)
+    texts = [t for _, t, _, _ in rows[::3]]
+    kept = [np.mean(quality.verdicts(m[0], [t.encode() for t in texts])["kept"]) for m in (whole, capped)]
+    flat = quality.fit([r.asDict() | {"stands_for": 1.0} for r in sample])
+    kept.append(np.mean(quality.verdicts(flat, [t.encode() for t in texts])["kept"]))
+    # Without the counts the capped sample turns most mixed texts away.
+    assert kept[0] > 0.7 and kept[1] > 0.7 and kept[2] < 0.3
+    base = [learn.sigmoid(m[1]["bias"]) for m in (whole, capped)]
+    assert abs(base[0] - base[1]) < 0.05
