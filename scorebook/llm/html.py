@@ -211,12 +211,7 @@ def match(a: Node, b: Node, pairs: list | None = None) -> int:
         return [c for c in x.children if isinstance(c, Node)]
 
     def size(x: Node, y: Node) -> int:
-        if x.signature != y.signature:
-            return 0
-        found = memo.get((id(x), id(y)))
-        if found is None:
-            found = memo[id(x), id(y)] = 1 + table(inner(x), inner(y))[-1][-1]
-        return found
+        return memo[id(x), id(y)] if x.signature == y.signature else 0
 
     def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
         rows = [[0] * (len(ys) + 1)]
@@ -227,6 +222,16 @@ def match(a: Node, b: Node, pairs: list | None = None) -> int:
             rows.append(row)
         return rows
 
+    # Pairs of nodes in an order in which those of their children come later.
+    order, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x.signature == y.signature and (id(x), id(y)) not in memo:
+            memo[id(x), id(y)] = 0
+            order.append((x, y))
+            todo.extend((c, d) for c in inner(x) for d in inner(y))
+    for x, y in reversed(order):
+        memo[id(x), id(y)] = 1 + table(inner(x), inner(y))[-1][-1]
     total = size(a, b)
     if pairs is not None and total:
         todo = [(a, b)]

@@ -61,3 +61,8 @@ def test_pages(spark):
     assert (found[100].text, found[101].text, found[102].text) == ("", "", "alone here")
     assert found[103].text == "H0 Text 0 & more." and found[105].n_chars == 299_999
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+def test_deep_pages_are_matched():
+    deep = [f"<div><p>Top</p>{'<div>' * 1000}<p>Story {k} told at length</p>" for k in range(5)]
+    assert html.extract(deep[2], html.induce(deep)) == "Story 2 told at length"
