@@ -10,8 +10,9 @@ footers, sidebars, notices, adverts, forms, scripts, styles or comments mark by
 role or class. A page that its host's wrapper does not fit is read by the same rule
 from its own tree.
 
-A host's sample is the first page by hash in each of SAMPLE hash buckets, found by a
-partial aggregation, so a host with a third of all pages costs no more than others.
+A host's sample comes from the first page by hash in each of POOL hash buckets, found
+by a partial aggregation, so a host with a third of all pages costs no more than others.
+Near copies of a page count once: an article that a host repeats is not its template.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its
 own; broken markup is read as far as it goes; repeated rows give equal texts.
@@ -33,11 +34,17 @@ from .common import cut, per_batch, ship
 #: Pages of a host that its wrapper is learned from, none longer than this many characters
 #: or with more elements than NODES (bounds of the fit; every page is read).
 SAMPLE = 12
+#: Pages of a host that the sample is taken from: near copies of a page in it are passed over.
+POOL = 48
+#: Share of the shorter page's text in common that makes two pages near copies.
+COPY = 0.7
 SAMPLE_CHARS = 200_000
 NODES = 1500
 #: Share of the aligned pages with the same text that makes a node template, and least pages.
 CONSTANT = 0.8
 LEAST_PAGES = 4
+#: Template texts that are more than this share of an element's text are its article.
+MOST = 0.8
 #: Share of an element's slot text that a child must hold to be the content instead.
 DOMINANT = 0.6
 
@@ -291,9 +298,38 @@ def content(root: Node, weight: dict[int, float] | None = None) -> tuple[str, No
         path, node = f"{path}/{best.signature}", best
 
 
+def paragraphs(root: Node) -> set[str]:
+    """Texts of the elements of a page's content, by the page's own tree."""
+    out, todo = set(), [content(root)[1]]
+    while todo:
+        node = todo.pop()
+        if not node.skipped:
+            out.add(own_text(node))
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    return out - {""}
+
+
+def different(pages: list[str]) -> list[Node]:
+    """Trees of the first SAMPLE pages that are no near copies of one before."""
+    trees: list[Node] = []
+    known: list[tuple[set[str], int]] = []
+    for page in dict.fromkeys(pages):
+        tree = parse(page)
+        if len(elements(tree)) > NODES:
+            continue
+        texts = paragraphs(tree)
+        mass = sum(map(len, texts))
+        if all(sum(map(len, texts & t)) < COPY * min(mass, m) or not min(mass, m) for t, m in known):
+            trees.append(tree)
+            known.append((texts, mass))
+            if len(trees) == SAMPLE:
+                break
+    return trees
+
+
 def induce(pages: list[str]) -> dict:
     """The wrapper of a host from some of its pages."""
-    trees = [t for t in map(parse, dict.fromkeys(pages)) if len(elements(t)) <= NODES]
+    trees = different(pages)
     if not trees:
         return {}
     base = trees[0]
@@ -324,8 +360,11 @@ def extract(page: str, wrapper: dict) -> str:
     if not roots:
         roots = [content(root)]
     found = text_of(roots, constant)
-    # A page of template texts only is an article that the sample repeats.
-    return found if found or not constant else text_of(roots)
+    if not constant:
+        return found
+    # A page of template texts for the most part is an article that the sample repeats.
+    whole = text_of(roots)
+    return found if len(found) >= (1 - MOST) * len(whole) else whole
 
 
 def _at(root: Node, path: str) -> list[tuple[str, Node]]:
@@ -348,7 +387,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     keyed = pages.select(
         host(pages["url"]).alias("host"), pages["html"].alias("html"), F.xxhash64(pages["url"], pages["html"]).alias("key")
     ).where(F.length("html").between(1, SAMPLE_CHARS))
-    first = keyed.groupBy("host", F.pmod("key", F.lit(SAMPLE)).alias("bucket")).agg(F.min("key").alias("key"))
+    first = keyed.groupBy("host", F.pmod("key", F.lit(POOL)).alias("bucket")).agg(F.min("key").alias("key"))
     chosen = cut(first.select("host", "key"))
 
     def run(rows: pa.Table) -> pa.Table:

@@ -66,3 +66,16 @@ def test_pages(spark):
 def test_deep_pages_are_matched():
     deep = [f"<div><p>Top</p>{'<div>' * 1000}<p>Story {k} told at length</p>" for k in range(5)]
     assert html.extract(deep[2], html.induce(deep)) == "Story 2 told at length"
+
+
+def test_near_copies_of_an_article_are_no_template():
+    body = "".join(f"<p>Paragraph {n} of the one article, with words of its own.</p>" for n in range(6))
+    copies = [page(7, f"<p>Read {k} times</p>{body}") for k in range(12)]
+    for article in ("{}", "<article>{}</article>"):
+        same = [page(7, article.format(f"<p>Read {k} times</p>{body}")) for k in range(12)]
+        found = html.extract(same[3], html.induce(same))
+        assert all(f"Paragraph {n} of" in found for n in range(6))
+    # Other pages of the host still show its template.
+    others = [page(k, f"<p>Story {k} says {k * k} things that differ a lot.</p><p>More of {k}.</p>") for k in range(20, 26)]
+    found = html.extract(copies[3], html.induce(copies + others))
+    assert all(f"Paragraph {n} of" in found for n in range(6)) and "Share this" not in found
