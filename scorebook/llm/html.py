@@ -7,7 +7,8 @@ to the smallest element that holds most of the slots' text, and the constant tex
 inside it. All pages are then read with the wrapper of their host: text below the
 content path, without template nodes and without elements that menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments mark by tag,
-role or class. A page that its host's wrapper does not fit is read by the same rule
+role or class. A name that only contains a mark word (has-sidebar) drops no element
+that holds much of the page's text, an article or the content path. A page that its host's wrapper does not fit is read by the same rule
 from its own tree.
 
 A host's sample comes from the first page by hash in each of POOL hash buckets, found
@@ -45,6 +46,8 @@ CONSTANT = 0.8
 LEAST_PAGES = 4
 #: Template texts that are more than this share of an element's text are its article.
 MOST = 0.8
+#: An element is dropped for a mark word inside a longer name when it holds at most this share of the page's text.
+SMALL = 0.3
 #: Share of an element's slot text that a child must hold to be the content instead.
 DOMINANT = 0.6
 
@@ -82,10 +85,10 @@ _MARK_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "_skip")
+    __slots__ = ("tag", "attributes", "children", "_skip", "hinted")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children, self._skip = tag, attributes, [], None
+        self.tag, self.attributes, self.children, self._skip, self.hinted = tag, attributes, [], None, False
 
     def attribute(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -111,8 +114,15 @@ class Node:
             return True
         if re.search(r"display\s*:\s*none", found.get("style", "")):
             return True
-        words = _MARK_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")
-        return self.tag not in ("html", "body", "article", "main") and any(w.lower() in MARKS for w in words)
+        if self.tag in ("html", "body", "article", "main"):
+            return False
+        names = [_MARK_PARTS.findall(n) for n in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        marked = [[w.lower() in MARKS for w in words] for words in names]
+        if any(words and all(words) for words in marked):
+            return True
+        # The word is a part of a longer name: `settle` decides by the element's share of the page.
+        self.hinted = any(map(any, marked))
+        return self.hinted
 
 
 def parse(page: str) -> Node:
@@ -159,9 +169,32 @@ def parse(page: str) -> Node:
         # A tag that the page's end cuts off is no text.
         rest = page[at:]
         stack[-1].children.append(re.sub(r"<[/!?A-Za-z][^<>]*\Z", "", rest))
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Keeps the elements with a mark word inside a name that hold an article or much of the page's text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.skipped or node.hinted:
+            order.append(node)
+            todo.extend(c for c in node.children if isinstance(c, Node))
+    if not any(n.hinted for n in order):
+        return
+    mass: dict[int, int] = {}
+    article: set[int] = set()
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node)]
+        mass[id(node)] = len(own_text(node)) + sum(mass.get(id(c), 0) for c in inside)
+        if node.tag in ("article", "main") or any(id(c) in article for c in inside):
+            article.add(id(node))
+    for node in order:
+        if node.hinted and (id(node) in article or mass[id(node)] > SMALL * mass[id(root)]):
+            node._skip = False
+
+
 def _close(stack: list[Node], tag: str, scopes: set[str]) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag == tag:
@@ -368,12 +401,15 @@ def extract(page: str, wrapper: dict) -> str:
 
 
 def _at(root: Node, path: str) -> list[tuple[str, Node]]:
-    """Elements at a path of signatures that are not skipped on the way."""
+    """Elements at a path of signatures that are not skipped on the way, or only for a part of a name."""
     level = [root]
     for part in path.split("/")[1:]:
         level = [
-            c for n in level for c in n.children if isinstance(c, Node) and c.signature == part and not c.skipped
+            c for n in level for c in n.children
+            if isinstance(c, Node) and c.signature == part and (not c.skipped or c.hinted)
         ]
+        for node in level:
+            node._skip = False
     return [(path, n) for n in level]
 
 

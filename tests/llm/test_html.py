@@ -79,3 +79,15 @@ def test_near_copies_of_an_article_are_no_template():
     others = [page(k, f"<p>Story {k} says {k * k} things that differ a lot.</p><p>More of {k}.</p>") for k in range(20, 26)]
     found = html.extract(copies[3], html.induce(copies + others))
     assert all(f"Paragraph {n} of" in found for n in range(6)) and "Share this" not in found
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "content search-result", "post social-share-enabled"])
+def test_mark_words_inside_names_drop_no_content(name):
+    def made(k):
+        return (
+            f"<body><div class='{name}'><div class=text><h1>Head {k}</h1><p>Story {k} says {k * k} things that differ.</p></div>"
+            f"<div class='left-sidebar'>see {k}</div><div class=sidebar>side {k}</div></div><div class='ad'>Buy {k} now</div></body>"
+        )
+
+    pages = [made(k) for k in range(8)]
+    assert html.extract(pages[3], {}) == html.extract(pages[3], html.induce(pages)) == "Head 3 Story 3 says 9 things that differ."
