@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from oracles.queries import register
+from scorebook.functions.timeline import shared
 from scorebook.operators import maintain
 from scorebook.session import ensure_checkpoint_dir
 from scorebook.sources import testdata as td
-from scorebook.streaming import live
+from scorebook.streaming import chase, live
 
 
 def _folder(spark):
@@ -47,10 +48,54 @@ def _z1(spark, sf_dir):
     return maintain.read_current(spark, root + "/table")
 
 
+def _arrivals(spark, sf_dir):
+    """A stream of all events, a file a batch. Two files hold the earlier years and two the
+    later ones; the balls of an innings are spread over two files in any order. Every second
+    ball is in its file twice, and every third one comes again with the later years."""
+    root = _folder(spark) + "/arrivals"
+    balls = shared(td.events(spark, sf_dir).where("match_date IS NOT NULL").withColumn(
+        "event_time",
+        F.to_timestamp("match_date") + F.make_interval(hours=F.col("innings_no") * 2, secs=F.col("ball_seq") * 30)))
+    hashed = F.xxhash64("match_id", "innings_no", "ball_seq")
+    later, half, seq = F.year("match_date") >= SPLIT_YEAR, F.pmod(hashed, F.lit(2)), F.col("ball_seq")
+    for part in (~later, later):
+        for k in (0, 1):
+            own = balls.where(part & (half == k))
+            sent = own.unionByName(own.where(seq % 2 == 0))
+            if part is later:
+                sent = sent.unionByName(balls.where(~later & (half == k) & (seq % 3 == 0)))
+            # One file, written after the one before it.
+            sent.repartition(1).sortWithinPartitions(F.xxhash64(hashed)).write.mode("append").parquet(root)
+    return spark.readStream.schema(balls.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+#: First year of the later files, and more than the days that a file of either half covers.
+SPLIT_YEAR, LATE = 1995, "1500 days"
+
+
 @register("z2_live_scoreboard")
 def _z2(spark, sf_dir):
+    """Balls that are delivered twice count once, in the batch and between batches."""
     root = _folder(spark)
-    balls = td.scored_lines(_stream(spark, sf_dir, "lineitem"))
-    query = live.publish(live.scoreboard(balls), root + "/scores", root + "/checkpoint")
+    balls = _arrivals(spark, sf_dir)
+    query = live.publish(live.scoreboard(balls, "event_time", LATE), root + "/scores", root + "/checkpoint")
     query.awaitTermination()
-    return live.latest_scores(spark.read.parquet(root + "/scores"))
+    return live.latest(spark, root + "/scores")
+
+
+@register("z2_live_chase")
+def _z2_chase(spark, sf_dir):
+    """States of all chases after shuffled and repeated balls; the finished job is started once more."""
+    root = _folder(spark)
+    balls = _arrivals(spark, sf_dir)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, chase.STORE)
+    try:
+        for _ in range(2):
+            states = chase.chase_states(balls, "event_time", LATE)
+            query = live.publish(states, root + "/states", root + "/checkpoint", keys=["match_id"])
+            query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return chase.live_features(live.latest(spark, root + "/states", ["match_id"]), td.contests(spark, sf_dir), None)

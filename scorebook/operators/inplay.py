@@ -27,7 +27,7 @@ AWARD_NUMERIC = [
 RECENT_BALLS = 30
 
 
-def _state_columns(df: DataFrame, digits: int | None) -> DataFrame:
+def state_columns(df: DataFrame, digits: int | None) -> DataFrame:
     """Rates and flags from target, current_runs, wickets_fallen, balls_bowled and
     over_no. Training rows and live requests share this."""
     remaining = F.greatest(F.lit(k.FULL_QUOTA_BALLS) - F.col("balls_bowled"), F.lit(0))
@@ -57,6 +57,17 @@ def _state_columns(df: DataFrame, digits: int | None) -> DataFrame:
     )
 
 
+def decided(contests: DataFrame) -> DataFrame:
+    """Contests with a winner, under the columns that chase rows carry."""
+    return contests.where(
+        F.col("is_completed") & F.col("winner").isNotNull()
+        & ~F.coalesce("is_no_result", F.lit(False))
+    ).select(
+        "match_id", "winner", F.coalesce("venue", F.lit("Unknown")).alias("venue"),
+        F.col("season"), F.col("match_date"),
+    )
+
+
 def chase_features(
     events: DataFrame, contests: DataFrame, stride: int = 1, digits: int | None = 3
 ) -> DataFrame:
@@ -65,13 +76,7 @@ def chase_features(
     Every window is partitioned by contest (two innings at most), so a stream
     already partitioned by ``match_id`` is not shuffled again.
     """
-    label = contests.where(
-        F.col("is_completed") & F.col("winner").isNotNull()
-        & ~F.coalesce("is_no_result", F.lit(False))
-    ).select(
-        "match_id", "winner", F.coalesce("venue", F.lit("Unknown")).alias("venue"),
-        F.col("season"), F.col("match_date"),
-    )
+    label = decided(contests)
     contest = Window.partitionBy("match_id")
     order = Window.partitionBy("match_id", "innings_no").orderBy("ball_seq")
     balls = events.select(
@@ -112,7 +117,7 @@ def chase_features(
         .drop("batting_team", "bowling_team")
         .withColumnsRenamed({"side": "batting_team", "other": "bowling_team"})
     )
-    rows = _state_columns(state.join(label, "match_id"), digits)
+    rows = state_columns(state.join(label, "match_id"), digits)
     return rows.select(
         "match_id", "ball_seq", "season", "match_date", *CHASE_CATEGORICAL, *CHASE_NUMERIC,
         flag(F.col("winner") == F.col("batting_team")).alias("target_chase_success"),
@@ -128,7 +133,7 @@ def chase_rows(requests: DataFrame, digits: int | None = 3) -> DataFrame:
     placed = requests.withColumn(
         "over_no", (F.expr(f"balls_bowled div {k.BALLS_PER_OVER}") + 1).cast("int")
     )
-    return _state_columns(placed, digits)
+    return state_columns(placed, digits)
 
 
 def terminal_overrides(scored: DataFrame, probability: str = "probability") -> DataFrame:

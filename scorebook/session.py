@@ -7,7 +7,9 @@ benchmark. Nothing here is needed for correctness except the UTC time zone.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +50,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="scorebook-checkpoint-")
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of jobs that run its classes, once per application."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="scorebook-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/scorebook_package", "zip", root, "scorebook"))
+    _SHIPPED.add(app)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark stores it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders directly below a folder; empty if it does not exist."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    return [s.getPath().toString() for s in store.listStatus(place) if s.isDirectory()]
