@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -68,17 +69,34 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def cut(frame: DataFrame) -> DataFrame:
+def cut(frame: DataFrame, kept: bool = False) -> DataFrame:
     """The frame written to the shared checkpoint folder and read again.
 
     It survives lost executors, is computed once, and carries no partitioning
-    that would keep Spark from splitting a skewed join after it.
+    that would keep Spark from splitting a skewed join after it. Inside
+    :func:`scratch` the folder is removed at the end, unless it is `kept`.
     """
     path = f"{checkpoint_dir(frame.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if _SCRATCH and not kept:
+        _SCRATCH[-1].append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that :func:`cut` writes inside are removed at the end; results must be `kept`."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_folder(spark, path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder that an operator wrote and no longer needs, wherever Spark stores it."""
     jvm = spark.sparkContext._jvm
@@ -198,3 +216,19 @@ def keep_rows(docs: DataFrame, survivors: DataFrame) -> DataFrame:
     keyed = docs.withColumns(dict(zip((a, b), row_key(docs))))
     wanted = survivors.select(F.col("id_key").alias(a), F.col("text_key").alias(b))
     return keyed.join(wanted, [a, b], "left_semi").dropDuplicates([a, b]).select(*columns)
+
+
+def drop_rows(docs: DataFrame, losers: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of `docs` whose (id_key, text_key) is not in `losers`, each key once.
+
+    `repeated` holds the keys that come more than once. Both are written tables, so where
+    they are small the documents do not move.
+    """
+    columns = docs.columns
+    a, b = free_name(docs, "id_key"), free_name(docs, "text_key")
+    keyed = docs.withColumns(dict(zip((a, b), row_key(docs))))
+    gone, again = (f.select(F.col("id_key").alias(a), F.col("text_key").alias(b)) for f in (losers, repeated))
+    rest = keyed.join(gone, [a, b], "left_anti")
+    return rest.join(again, [a, b], "left_anti").unionByName(
+        rest.join(again, [a, b], "left_semi").dropDuplicates([a, b])
+    ).select(*columns)

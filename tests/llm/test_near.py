@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 
 from scorebook.llm import near
@@ -70,3 +72,38 @@ def test_odd_documents(odd, none):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda i: (i is None, i)) == [1, 5, 6, 7, 8, 9, 9, None]
     assert near.keep_one(none).count() == 0
+
+
+def test_repeated_rows_and_groups_that_are_not_joined(make, monkeypatch):
+    """Copies of one base with more and more changes: many share buckets and are not similar."""
+    monkeypatch.setattr(near, "TILE", 16)
+    monkeypatch.setattr(near, "TILE_SHINGLES", 4096)
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(140)]
+    rows = [(k, " ".join(planted(rng, base, 1 + k % 9))) for k in range(150)]
+    expected, _ = brute_kept(rows)
+    twice = rows + rows[:40]
+    kept = near.keep_one(make([(k, t, "en", "s") for k, t in twice]))
+    assert sorted(r.doc_id for r in kept.collect()) == expected
+
+
+def test_sizes_of_intersections(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 200)).astype(np.uint32)) for _ in range(30)]
+    left, right = np.divmod(np.arange(900), 30)
+    expected = [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(left, right)]
+    table = near.SharedShingles(sets)
+    assert table.common(left[left != right], right[left != right]).tolist() == [e for e, a, b in zip(expected, left, right) if a != b]
+    monkeypatch.setattr(near, "TABLE_WORDS", 0)
+    assert near.SharedShingles(sets).common(left, right).tolist() == expected
+
+
+def test_a_tile_returns_at_most_a_row_for_each_document():
+    rng = np.random.default_rng(4)
+    one = np.sort(rng.choice(10_000, 200, replace=False)).astype(np.uint32)
+    sets = [one] * 100
+    fps, nodes = np.zeros(100, np.uint64), np.arange(100) + 5
+    u, v = near.tile_links(fps, np.full(100, 2), nodes, nodes, sets)
+    assert len(u) == 99 and (v == 5).all()
+    u, v = near.tile_links(fps, np.full(100, 2), nodes, np.full(100, 5), sets)
+    assert len(u) == 0
