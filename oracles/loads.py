@@ -50,6 +50,11 @@ SELECT match_key, 'warning' AS severity, 'duplicate_batting' AS code FROM (SELEC
 UNION ALL SELECT match_key, 'warning', 'duplicate_bowling' FROM (SELECT match_id, innings_no, player FROM dbowl GROUP BY ALL HAVING count(*) > 1) JOIN dirty USING (match_id)
 UNION ALL SELECT match_key, 'warning', 'duplicate_delivery' FROM (SELECT match_id, innings_no, ball_seq FROM dev GROUP BY ALL HAVING count(*) > 1) JOIN dirty USING (match_id)""",
     "iss": "SELECT * FROM ish UNION ALL SELECT * FROM isp UNION ALL SELECT * FROM isd UNION ALL SELECT * FROM ism",
+    "bad": """
+SELECT match_id FROM dirty WHERE match_key IS NULL OR match_key = '' OR coalesce(season, 0) = 0 OR team1 IS NULL OR team2 IS NULL OR team1 = team2
+  OR (winner IS NOT NULL AND NOT (coalesce(winner = team1, false) OR coalesce(winner = team2, false)))
+UNION SELECT match_id FROM dper WHERE runs NOT BETWEEN 0 AND 350 OR wickets NOT BETWEEN 0 AND 10
+UNION SELECT match_id FROM dper GROUP BY match_id, innings_no HAVING count(*) > 1""",
     "enr": """
 SELECT player AS name, arg_min(role, match_id) AS role FROM (SELECT player, match_id, CASE WHEN match_id % 3 = 0 THEN '' ELSE role END AS role FROM ros) WHERE role <> '' GROUP BY player""",
     "runs": """
@@ -134,8 +139,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *
     ),
     "q16_issue_counts": "SELECT code, count(*) AS issues FROM iss GROUP BY code",
     "q16_issue_summary": """
-SELECT count(*) AS checked, count(*) FILTER (WHERE e > 0) AS rejected, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(w) AS BIGINT) AS warnings
-FROM dirty LEFT JOIN (SELECT match_key, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w FROM iss GROUP BY match_key) USING (match_key)""",
-    "q17_accepted": "SELECT match_id, match_key FROM dirty WHERE match_key IS NULL OR match_key NOT IN (SELECT match_key FROM iss WHERE severity = 'error' AND match_key IS NOT NULL)",
-    "q17_rejected": "SELECT match_id, match_key FROM dirty WHERE match_key IN (SELECT match_key FROM iss WHERE severity = 'error' AND match_key IS NOT NULL)",
+SELECT (SELECT count(*) FROM dirty) AS checked, (SELECT count(*) FROM dirty WHERE match_id IN (SELECT match_id FROM bad)) AS rejected,
+  count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM iss""",
+    "q17_accepted": "SELECT match_id, match_key FROM dirty WHERE match_id NOT IN (SELECT match_id FROM bad)",
+    "q17_rejected": "SELECT match_id, match_key FROM dirty WHERE match_id IN (SELECT match_id FROM bad)",
 }

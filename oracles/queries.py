@@ -570,34 +570,30 @@ def _q15_children(spark, sf_dir):
     return out
 
 
-def _issues(spark, sf_dir):
-    return quality.validate(
+def _checked(spark, sf_dir):
+    return quality.checked(
         dirty_contests(spark, sf_dir), dirty_periods(spark, sf_dir), events=td.events(spark, sf_dir)
     )
 
 
 @register("q16_issue_counts")
 def _q16(spark, sf_dir):
-    return quality.issue_counts(_issues(spark, sf_dir))
+    return quality.issue_counts(quality.issues_of(_checked(spark, sf_dir)))
 
 
 @register("q16_issue_summary")
 def _q16_summary(spark, sf_dir):
-    return quality.issue_summary(dirty_contests(spark, sf_dir), _issues(spark, sf_dir))
+    return quality.issue_summary(_checked(spark, sf_dir))
 
 
 @register("q17_accepted")
 def _q17(spark, sf_dir):
-    return quality.split_rejected(dirty_contests(spark, sf_dir), _issues(spark, sf_dir))[0].select(
-        "match_id", "match_key"
-    )
+    return quality.split_rejected(_checked(spark, sf_dir))[0].select("match_id", "match_key")
 
 
 @register("q17_rejected")
 def _q17_rejected(spark, sf_dir):
-    return quality.split_rejected(dirty_contests(spark, sf_dir), _issues(spark, sf_dir))[1].select(
-        "match_id", "match_key"
-    )
+    return quality.split_rejected(_checked(spark, sf_dir))[1].select("match_id", "match_key")
 
 
 # Standings -------------------------------------------------------------------

@@ -39,6 +39,9 @@ FROM (SELECT *, {_NR} AS nr, is_tie OR match_id % 17 = 4 AS tie FROM good) c""",
     ),
     "load_season_events": """
 SELECT 'official:' || season || ':' || match_id AS match_key, innings_no, ball_seq, total_runs, batter, bowler, season FROM ev JOIN (SELECT match_id FROM good) USING (match_id) WHERE season = 1998""",
+    "s5_load_events_ids": """
+SELECT 'official:' || season || ':' || match_id AS match_key, innings_no, ball_seq, total_runs, batter, bowler, season FROM ev
+WHERE match_id IN (SELECT arg_min(match_id, 'official:' || season || ':' || match_id) FROM good WHERE season % 3 = 0 GROUP BY season)""",
     "load_twice": " UNION ALL ".join(
         [
             "SELECT 'sides' AS table_name, count(*) AS rows FROM (SELECT team1 FROM good UNION SELECT team2 FROM good)",

@@ -1,52 +1,60 @@
 """Checks before a load: issues per contest, duplicates, and the accepted split.
 
-Every row-level check of one table is evaluated in one pass and exploded, so the
-contest table and the period table are each read once.
+Every row-level check of one table is evaluated in one pass. :func:`checked` evaluates
+all of them over one frame, a contest with the summed and counted rows of its children,
+so contests, periods and events are each read once, and whether a contest is accepted
+is a filter on its own row, with or without a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorebook import constants as k
+from scorebook.functions.rates import count_where
 
 ERROR, WARNING = "error", "warning"
 ISSUE = ["match_key", "severity", "code", "message"]
 
 
+def _shown(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
 def _text(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    return _shown(F.col(column))
 
 
 def _filled(column: str) -> Column:
     return F.col(column).isNotNull() & (F.col(column) != "")
 
 
-def _explode_issues(df: DataFrame, checks: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
-    """(severity, code, condition, message) checks of one table to issue rows."""
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    condition,
-                    F.struct(
-                        F.lit(severity).alias("severity"), F.lit(code).alias("code"),
-                        message.alias("message"),
-                    ),
-                )
-                for severity, code, condition, message in checks
-            ]
-        )
+Rule = tuple[str, str, Column, Column]
+ISSUES = "array<struct<severity:string,code:string,message:string>>"
+
+
+def _issue(severity: str, code: str, message: Column) -> Column:
+    return F.struct(
+        F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.cast("string").alias("message")
     )
-    return df.select("match_key", F.explode(found).alias("issue")).select("match_key", "issue.*")
 
 
-def contest_issues(contests: DataFrame) -> DataFrame:
-    """Identity, participants, toss and result checks."""
+def _broken(rules: Sequence[Rule]) -> Column:
+    """The issues of the (severity, code, condition, message) rules that a row breaks."""
+    return F.array_compact(
+        F.array(*[F.when(condition, _issue(severity, code, message)) for severity, code, condition, message in rules])
+    )
+
+
+def _explode_issues(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return df.select("match_key", F.explode(_broken(rules)).alias("issue")).select("match_key", "issue.*")
+
+
+def _contest_rules() -> list[Rule]:
     team1, team2 = F.col("team1"), F.col("team2")
     has1, has2 = _filled("team1"), _filled("team2")
     any_side = has1 | has2
@@ -61,7 +69,7 @@ def contest_issues(contests: DataFrame) -> DataFrame:
         _filled("winner") | F.coalesce("is_tie", F.lit(False))
         | F.coalesce("is_no_result", F.lit(False))
     )
-    checks = [
+    return [
         (ERROR, "missing_key", ~_filled("match_key") | F.col("match_key").isNull(),
          F.lit("no match_key")),
         (ERROR, "missing_season", F.coalesce("season", F.lit(0)) == 0, F.lit("no season")),
@@ -82,7 +90,30 @@ def contest_issues(contests: DataFrame) -> DataFrame:
         (WARNING, "implausible_margin", ~wickets.between(0, k.MAX_WICKETS),
          F.concat(F.lit("wicket margin "), _text("win_margin_wickets"))),
     ]
-    return _explode_issues(contests, checks)
+
+
+def contest_issues(contests: DataFrame) -> DataFrame:
+    """Identity, participants, toss and result checks."""
+    return _explode_issues(contests, _contest_rules())
+
+
+def _period_rules(of: Callable[[str], Column] = F.col) -> list[Rule]:
+    """Rules of one innings, whose values ``of`` names; the sides are those of the contest."""
+    batting, which = of("batting_team"), F.concat(F.lit("innings "), _shown(of("innings_no")), F.lit(": "))
+    member = F.coalesce(batting == F.col("team1"), F.lit(False)) | F.coalesce(
+        batting == F.col("team2"), F.lit(False)
+    )
+    return [
+        (ERROR, "implausible_score", ~of("runs").between(0, k.MAX_PLAUSIBLE_RUNS),
+         F.concat(which, _shown(of("runs")), F.lit(" runs"))),
+        (ERROR, "implausible_wickets", ~of("wickets").between(0, k.MAX_WICKETS),
+         F.concat(which, _shown(of("wickets")), F.lit(" wickets"))),
+        (WARNING, "overs_exceed_limit", of("overs") > k.STANDARD_OVERS + 0.5,
+         F.concat(which, _shown(of("overs")), F.lit(" overs"))),
+        (WARNING, "innings_team_mismatch",
+         batting.isNotNull() & (batting != "") & (_filled("team1") | _filled("team2")) & ~member,
+         F.concat(which, _shown(batting))),
+    ]
 
 
 def period_issues(contests: DataFrame, periods: DataFrame) -> DataFrame:
@@ -91,23 +122,7 @@ def period_issues(contests: DataFrame, periods: DataFrame) -> DataFrame:
     rows = periods.select(
         "match_id", "innings_no", "runs", "wickets", "overs", "batting_team"
     ).join(sides, "match_id")
-    batting = F.col("batting_team")
-    member = F.coalesce(batting == F.col("team1"), F.lit(False)) | F.coalesce(
-        batting == F.col("team2"), F.lit(False)
-    )
-    which = F.concat(F.lit("innings "), _text("innings_no"), F.lit(": "))
-    checks = [
-        (ERROR, "implausible_score", ~F.col("runs").between(0, k.MAX_PLAUSIBLE_RUNS),
-         F.concat(which, _text("runs"), F.lit(" runs"))),
-        (ERROR, "implausible_wickets", ~F.col("wickets").between(0, k.MAX_WICKETS),
-         F.concat(which, _text("wickets"), F.lit(" wickets"))),
-        (WARNING, "overs_exceed_limit", F.col("overs") > k.STANDARD_OVERS + 0.5,
-         F.concat(which, _text("overs"), F.lit(" overs"))),
-        (WARNING, "innings_team_mismatch",
-         _filled("batting_team") & (_filled("team1") | _filled("team2")) & ~member,
-         F.concat(which, _text("batting_team"))),
-    ]
-    return _explode_issues(rows, checks)
+    return _explode_issues(rows, _period_rules())
 
 
 def _repeats(
@@ -161,22 +176,86 @@ def event_mismatch(contests: DataFrame, periods: DataFrame, events: DataFrame) -
     )
 
 
-def validate(
+def _innings(periods: DataFrame, events: DataFrame | None) -> DataFrame:
+    """match_id, innings: each innings with its number of rows, its different rows and its events' runs.
+
+    Rows delivered again are counted before they are gathered, so what is gathered for a
+    contest is its innings and not the copies of them.
+    """
+    keys, values = ["match_id", "innings_no"], ["runs", "wickets", "overs", "batting_team"]
+    counted = periods.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("copies"))
+    each = counted.groupBy(*keys).agg(
+        F.sum("copies").alias("n"), F.collect_list(F.struct("innings_no", *values, "copies")).alias("rows")
+    )
+    if events is None:
+        each = each.withColumn("event_runs", F.lit(None).cast("long"))
+    else:
+        each = each.join(events.groupBy(*keys).agg(F.sum("total_runs").alias("event_runs")), keys, "left")
+    return each.groupBy("match_id").agg(F.collect_list(F.struct("innings_no", "n", "event_runs", "rows")).alias("innings"))
+
+
+def _innings_issues(innings: Column) -> Column:
+    """Issues of all rows of an innings: its rules, its copies, its events."""
+
+    def of_row(row: Column) -> Column:
+        runs, summed = row["runs"], innings["event_runs"]
+        mismatch = F.when(runs != summed, _issue(WARNING, "ballbyball_mismatch", F.concat(
+            F.lit("innings "), _shown(row["innings_no"]), F.lit(": events "), _shown(summed), F.lit(" card "), _shown(runs))))
+        found = F.concat(_broken(_period_rules(lambda name: row[name])), F.array_compact(F.array(mismatch)))
+        return F.flatten(F.array_repeat(found, row["copies"].cast("int")))
+
+    copies = F.array_repeat(
+        _issue(ERROR, "duplicate_innings", _shown(innings["innings_no"])), (innings["n"] - 1).cast("int"))
+    return F.concat(F.flatten(F.transform(innings["rows"], of_row)), copies)
+
+
+def _repeated_children(attack: DataFrame, defence: DataFrame, events: DataFrame) -> DataFrame:
+    """match_id, repeated: an issue for each child key that comes more than once."""
+    kinds = (
+        (attack, "player", "duplicate_batting"), (defence, "player", "duplicate_bowling"),
+        (events, "ball_seq", "duplicate_delivery"),
+    )
+    parts = [
+        child.groupBy("match_id", "innings_no", key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+            "match_id", _issue(WARNING, code, F.concat_ws(" ", _text("innings_no"), _text(key))).alias("issue"))
+        for child, key, code in kinds
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("match_id").agg(F.collect_list("issue").alias("repeated"))
+
+
+def checked(
     contests: DataFrame,
     periods: DataFrame | None = None,
     attack: DataFrame | None = None,
     defence: DataFrame | None = None,
     events: DataFrame | None = None,
 ) -> DataFrame:
-    """All issues of a batch, one row each."""
-    parts = [contest_issues(contests)]
+    """The contests with an array ``issues`` of all rules that they and their children break."""
+    none = F.array().cast(ISSUES)
+    frame, found = contests, [_broken(_contest_rules())]
     if periods is not None:
-        parts += [period_issues(contests, periods), duplicate_periods(contests, periods)]
-        if events is not None:
-            parts.append(event_mismatch(contests, periods, events))
+        frame = frame.join(_innings(periods, events), "match_id", "left")
+        found.append(F.coalesce(F.flatten(F.transform("innings", _innings_issues)), none))
     if attack is not None and defence is not None and events is not None:
-        parts.append(duplicate_children(contests, attack, defence, events))
-    return reduce(DataFrame.unionByName, parts)
+        frame = frame.join(_repeated_children(attack, defence, events), "match_id", "left")
+        found.append(F.coalesce(F.col("repeated"), none))
+    return frame.select(*contests.columns, F.concat(*found).alias("issues"))
+
+
+def validate(
+    contests: DataFrame,
+    periods: DataFrame | None = None,
+    attack: DataFrame | None = None,
+    defence: DataFrame | None = None,
+    events: DataFrame | None = None,
+) -> DataFrame:
+    """All issues of a batch, one row each."""
+    return issues_of(checked(contests, periods, attack, defence, events))
+
+
+def issues_of(found: DataFrame) -> DataFrame:
+    """Issue rows of checked contests."""
+    return found.select("match_key", F.explode("issues").alias("issue")).select("match_key", "issue.*")
 
 
 def dedupe(child: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -198,24 +277,19 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code").agg(F.count("*").alias("issues"))
 
 
-def issue_summary(contests: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row: contests checked and rejected, errors and warnings."""
-    is_error = F.col("severity") == ERROR
-    per_contest = issues.groupBy("match_key").agg(
-        F.sum(F.when(is_error, 1).otherwise(0)).alias("errors"), F.count("*").alias("issues")
-    )
-    return contests.join(per_contest, "match_key", "left").agg(
-        F.count("*").alias("checked"),
-        F.sum(F.when(F.col("errors") > 0, 1).otherwise(0)).alias("rejected"),
+def _errors() -> Column:
+    return F.size(F.filter("issues", lambda issue: issue["severity"] == ERROR))
+
+
+def issue_summary(found: DataFrame) -> DataFrame:
+    """One row of checked contests: contests and rejected ones, errors and warnings."""
+    return found.select(_errors().alias("errors"), F.size("issues").alias("issues")).agg(
+        F.count(F.lit(1)).alias("checked"), count_where(F.col("errors") > 0).alias("rejected"),
         F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"),
         F.coalesce(F.sum(F.col("issues") - F.col("errors")), F.lit(0)).alias("warnings"),
     )
 
 
-def split_rejected(contests: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a contest with any error is rejected."""
-    bad = issues.where(F.col("severity") == ERROR).select("match_key")
-    return (
-        contests.join(bad, "match_key", "left_anti"),
-        contests.join(bad, "match_key", "left_semi"),
-    )
+def split_rejected(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of checked contests: one with any error is rejected, one without a key too."""
+    return found.where(_errors() == 0).drop("issues"), found.where(_errors() > 0).drop("issues")

@@ -218,21 +218,26 @@ def load_events(
     match_ids: Sequence[int] | DataFrame | None = None,
 ) -> DataFrame:
     """``match_ids`` may be a list or a frame with a match_id column. None reads
-    everything, an empty list nothing."""
+    everything, an empty list nothing.
+
+    Stored events lie in a folder for each season. A season leaves out the other
+    folders when the query is planned; contests do so when it runs, as the seasons of
+    the wanted contests prune the scan (dynamic partition pruning)."""
     context = _context(wh, "match_date")
     if season is not None:
         context = context.where(F.col("season") == season)
-    frame = wh.events
-    if "season" in frame.columns:
-        # Stored by season: the filter leaves out whole folders.
-        frame = (frame if season is None else frame.where(F.col("season") == season)).drop("season")
     if match_ids is not None:
         if not isinstance(match_ids, DataFrame):
-            match_ids = wh.events.sparkSession.createDataFrame(
-                [(int(m),) for m in match_ids], "match_id long"
-            )
-        frame = frame.join(match_ids.select("match_id"), "match_id", "left_semi")
-    frame = frame.join(context, "match_id")
+            wanted = [int(m) for m in match_ids]
+            context = context.where(F.col("match_id").isin(wanted) if wanted else F.lit(False))
+        else:
+            context = context.join(match_ids.select("match_id"), "match_id", "left_semi")
+    frame = wh.events
+    if "season" in frame.columns:
+        frame = frame if season is None else frame.where(F.col("season") == season)
+        frame = frame.join(context, ["season", "match_id"])
+    else:
+        frame = frame.join(context, "match_id")
     frame = _name(frame, wh.sides, "batting_team_id", "batting_team")
     frame = _name(frame, wh.sides, "bowling_team_id", "bowling_team")
     frame = _name(frame, wh.actors, "batter_id", "batter")

@@ -155,12 +155,38 @@ def test_validation_flags_a_winner_that_did_not_play(contests):
     broken = contests.withColumn(
         "winner", F.when(F.col("match_id") == 2, F.lit("Z")).otherwise(F.col("winner"))
     )
-    issues = quality.contest_issues(broken)
-    assert [r.code for r in issues.collect()] == ["winner_not_playing"]
-    good, bad = quality.split_rejected(broken, issues)
+    assert [r.code for r in quality.contest_issues(broken).collect()] == ["winner_not_playing"]
+    good, bad = quality.split_rejected(quality.checked(broken))
+    assert good.columns == broken.columns
     assert good.count() == 6 and bad.first().match_id == 2
 
 
+def test_a_contest_without_a_key_is_rejected_and_counted(contests):
+    keyless = contests.withColumn("match_key", F.when(F.col("match_id") <= 2, None).otherwise(F.col("match_key")))
+    found = quality.checked(keyless)
+    good, bad = quality.split_rejected(found)
+    assert good.count() == 5 and sorted(r.match_id for r in bad.collect()) == [1, 2]
+    assert tuple(quality.issue_summary(found).first()) == (7, 2, 2, 0)
+
+
+def test_all_rules_of_a_contest_in_one_row(spark, contests, events):
+    """Copies of an innings, a wrong total and repeated child rows; the parts agree with the separate checks."""
+    periods = spark.createDataFrame(
+        [(1, 1, 280, 4, 20.0, "A"), (1, 1, 280, 4, 20.0, "A"), (1, 1, 281, 4, 20.0, "A"), (2, 1, 400, 11, 25.0, "Z"),
+         (3, None, None, None, None, None), (99, 1, 5, 5, 1.0, "A")],
+        "match_id long, innings_no int, runs int, wickets int, overs double, batting_team string")
+    cards = spark.createDataFrame([(4, 1, "x"), (4, 1, "x"), (4, 1, "x"), (5, 1, "y")], "match_id long, innings_no int, player string")
+    twice = events.unionByName(events.where("match_id = 6 AND innings_no = 1 AND ball_seq = 7"))
+    found = quality.validate(contests, periods, cards, cards, twice)
+    apart = [
+        quality.contest_issues(contests), quality.period_issues(contests, periods),
+        quality.duplicate_periods(contests, periods), quality.event_mismatch(contests, periods, twice),
+        quality.duplicate_children(contests, cards, cards, twice),
+    ]
+    assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for part in apart for r in part.collect())
+    assert found.count() >= 10
+
+
 def test_dedupe_keeps_the_first(spark):
     rows = spark.createDataFrame([(1, "a", 2, None), (1, "a", 1, "x"), (2, "b", 5, "y")],
                                  "match_id long, player string, at int, note string")
