@@ -46,8 +46,11 @@ CONSTANT = 0.8
 LEAST_PAGES = 4
 #: Template texts that are more than this share of an element's text are its article.
 MOST = 0.8
-#: An element is dropped for a mark word inside a longer name when it holds at most this share of the page's text.
-SMALL = 0.3
+#: An element with a mark word inside a longer name stays if it holds more than this share of the page's text
+#: and the text outside of all such elements is less than FEW of its own.
+SMALL, FEW = 0.3, 0.1
+#: Characters in which a tag must end; a longer one ends at its next ">".
+TAG_CHARS = 4096
 #: Share of an element's slot text that a child must hold to be the content instead.
 DOMINANT = 0.6
 
@@ -70,6 +73,13 @@ MARKS = set(
     "subscribe subscription social share sharing related recommended comment comments disqus replies widget popup modal "
     "overlay toolbar pagination pager login signup search".split()
 )
+#: Words that with a mark word name the marked block itself.
+BLOCK_WORDS = set(
+    "list lists section area wrapper wrap block blocks box container left right top bottom inner outer panel region thread "
+    "column col holder zone slot unit item items row bar group primary secondary desktop mobile".split()
+)
+#: Mark words of what readers and other pages add; a block that one begins or ends the name of is no layout.
+ADDED = set("comment comments disqus replies related recommended newsletter cookie cookies consent notice notices".split())
 #: An open element of the key is closed by the start of one of the values.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -77,18 +87,18 @@ CLOSED_BY = {
 }
 SCOPES = set("ul ol dl table select html body div section article main td th aside nav header footer form".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S
-)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _MARK_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "_skip", "hinted")
+    __slots__ = ("tag", "attributes", "children", "_skip", "hinted", "added")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children, self._skip, self.hinted = tag, attributes, [], None, False
+        self.tag, self.attributes, self.children, self._skip = tag, attributes, [], None
+        self.hinted = self.added = False
 
     def attribute(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -116,12 +126,15 @@ class Node:
             return True
         if self.tag in ("html", "body", "article", "main"):
             return False
-        names = [_MARK_PARTS.findall(n) for n in f"{found.get('class', '')} {found.get('id', '')}".split()]
-        marked = [[w.lower() in MARKS for w in words] for words in names]
-        if any(words and all(words) for words in marked):
-            return True
-        # The word is a part of a longer name: `settle` decides by the element's share of the page.
-        self.hinted = any(map(any, marked))
+        names = [
+            [w.lower() for w in _MARK_PARTS.findall(n)] for n in f"{found.get('class', '')} {found.get('id', '')}".split()]
+        for words in names:
+            ends = words[:1] + words[-1:]
+            if MARKS.intersection(ends) and all(w in MARKS or w in BLOCK_WORDS for w in words):
+                return True
+            self.added |= bool(ADDED.intersection(ends))
+        # The word is a part of a longer name: `settle` decides by what the element holds.
+        self.hinted = any(MARKS.intersection(words) for words in names)
         return self.hinted
 
 
@@ -129,20 +142,39 @@ def parse(page: str) -> Node:
     """A tree of elements and text; end tags that were left out are supplied."""
     root = Node("", "")
     stack = [root]
-    at = 0
+    # Text before `at` is in the tree; markup is looked for from `seek` on.
+    at = seek = 0
     end = len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
+    while True:
+        start = page.find("<", seek)
+        if start < 0:
+            start = end
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        if page.startswith(("<!", "<?"), start):
+            name, attributes, closing = None, "", False
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->", start + 4) if comment else page.find(">", start)
+            if stop < 0 and not comment:
+                break  # cut off by the end of the page
+            stop = end if stop < 0 else stop + (3 if comment else 1)
+        elif (m := _TAG.match(page, start, min(end, start + TAG_CHARS))) is not None:
+            closing, name, attributes, stop = m[1], m[2], m[3], m.end()
+        elif (m := _NAME.match(page, start)) is not None:
+            # Very long, or a quote in it is never closed.
+            stop = page.find(">", m.end()) + 1
+            if not stop:
+                break
+            closing, name, attributes = m[1], m[2], page[m.end() : stop - 1]
+        else:
+            seek = start + 1  # a sign and no tag
+            continue
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        at = seek = stop
         if name is None:
             continue
         tag = name.lower()
-        if m[1]:
+        if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
@@ -155,43 +187,51 @@ def parse(page: str) -> Node:
         for open_tag, starts in CLOSED_BY.items():
             if tag in starts:
                 _close(stack, open_tag, SCOPES)
-        node = Node(tag, m[3])
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
             node.children.append(page[at : close.start()] if close else page[at:])
-            at = close.end() if close else end
+            at = seek = close.end() if close else end
             continue
         stack.append(node)
-    if at < end:
-        # A tag that the page's end cuts off is no text.
-        rest = page[at:]
-        stack[-1].children.append(re.sub(r"<[/!?A-Za-z][^<>]*\Z", "", rest))
+    if at < start:
+        stack[-1].children.append(page[at:start])
     settle(root)
     return root
 
 
 def settle(root: Node) -> None:
-    """Keeps the elements with a mark word inside a name that hold an article or much of the page's text."""
-    order, todo = [], [root]
+    """Keeps the elements with a mark word inside a longer name that hold the article.
+
+    They hold it if an article, main or h1 element is in them; or if they hold much of the
+    page's text, there is hardly any outside of such elements, and their name is not that of
+    what readers or other pages add.
+    """
+    order, todo = [], [(root, False)]
+    outside = 0
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         if not node.skipped or node.hinted:
+            inside = inside or node.skipped
             order.append(node)
-            todo.extend(c for c in node.children if isinstance(c, Node))
+            if not inside:
+                outside += len(own_text(node))
+            todo.extend((c, inside) for c in node.children if isinstance(c, Node))
     if not any(n.hinted for n in order):
         return
     mass: dict[int, int] = {}
     article: set[int] = set()
     for node in reversed(order):
-        inside = [c for c in node.children if isinstance(c, Node)]
-        mass[id(node)] = len(own_text(node)) + sum(mass.get(id(c), 0) for c in inside)
-        if node.tag in ("article", "main") or any(id(c) in article for c in inside):
+        children = [c for c in node.children if isinstance(c, Node)]
+        mass[id(node)] = len(own_text(node)) + sum(mass.get(id(c), 0) for c in children)
+        if node.tag in ("article", "main", "h1") or any(id(c) in article for c in children):
             article.add(id(node))
     for node in order:
-        if node.hinted and (id(node) in article or mass[id(node)] > SMALL * mass[id(root)]):
+        much = mass[id(node)] > SMALL * mass[id(root)] and outside < FEW * mass[id(node)] and not node.added
+        if node.hinted and (id(node) in article or much):
             node._skip = False
 
 
@@ -434,7 +474,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
             "wrapper": pa.array([json.dumps(induce(list(pages.values())))], pa.string()),
         })
 
-    sample = keyed.join(chosen, ["host", "key"], "left_semi")
+    # Repeated rows of a chosen page are one page of the sample.
+    sample = keyed.join(chosen, ["host", "key"], "left_semi").dropDuplicates(["host", "key"])
     return sample.groupBy("host").applyInArrow(run, "host string, wrapper string")
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from scorebook.llm import html
@@ -91,3 +93,45 @@ def test_mark_words_inside_names_drop_no_content(name):
 
     pages = [made(k) for k in range(8)]
     assert html.extract(pages[3], {}) == html.extract(pages[3], html.induce(pages)) == "Head 3 Story 3 says 9 things that differ."
+
+
+@pytest.mark.parametrize("attribute", [
+    "class='comment-list'", "id='comments-section'", "class='left-sidebar'", "class='reader-comments'", "id=commentsArea",
+])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_long_threads_and_sidebars_do_not_replace_the_article(attribute, tag):
+    def made(k):
+        thread = "".join(f"<p>Reader {k}{n} wrote {n * k} words about this and that.</p>" for n in range(30))
+        inside, behind = (thread, "") if tag == "article" else ("", thread)
+        return (
+            f"<body><{tag} class=post><h2>Head {k}</h2><p>Story {k} says {k * k} things.</p>"
+            f"{f'<section {attribute}>{inside}</section>' if inside else ''}</{tag}><section {attribute}>{behind}</section></body>"
+        )
+
+    pages = [made(k) for k in range(8)]
+    expected = "Head 3 Story 3 says 9 things."
+    assert html.extract(pages[3], {}) == expected
+    assert html.extract(pages[3], html.induce(pages)) == expected
+
+
+@pytest.mark.parametrize("markup, text", [
+    ("<p><a href=\"x>link</a> and more", "link and more"), ("<p>a <b class='x>b</b> c", "a b c"),
+    ("<p>1 < 2 and 3 > 2, a<b", "1 < 2 and 3 > 2, a"), ("<p>x<!-- never closed <p>y", "x"), ("<p>x<!doctype", "x"),
+    (f"<p>x<img src=\"data:{'A' * 10_000}\">y", "xy"), ("<p>x<a title=\"a>b\" href=\"c\">y", "xy"),
+])
+def test_broken_tags_are_no_text(markup, text):
+    assert html.extract(markup, {}) == text
+
+
+@pytest.mark.parametrize("piece", ["<div class=\"x", "<a href='y>z", "<", "<!", "<p title=\"a'>"])
+def test_broken_tags_take_linear_time(piece):
+    start = time.monotonic()
+    html.parse(piece * 100_000)
+    assert time.monotonic() - start < 20
+
+
+def test_repeated_rows(spark):
+    body = "<article><h1>H{0}</h1><p>Text {0} &amp; more.</p></article>"
+    rows = [(k % 3, f"http://rep.example.org/{k % 3}", page(k % 3, body.format(k % 3))) for k in range(300)]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 300 and all(r.text == f"H{r.page_id} Text {r.page_id} & more." for r in found)
