@@ -3,6 +3,7 @@
 # A contest with an implausible innings (an error of Q10) is rejected.
 CTES = {
     "good": "SELECT * FROM con WHERE match_id NOT IN (SELECT match_id FROM per0 WHERE wickets > 10 OR runs > 350 OR runs < 0)",
+    "gfeed": "SELECT match_id, 'official:' || CASE WHEN season >= 2000 THEN season ELSE 1900 END || ':' || match_id AS feed_key FROM con WHERE match_id NOT IN (SELECT match_id FROM per0 WHERE wickets > 10 OR runs + CASE WHEN match_id % 4 = 1 THEN 1 ELSE 0 END NOT BETWEEN 0 AND 350)",
     "gev": "SELECT ev.* FROM ev JOIN (SELECT match_id FROM good) USING (match_id)",
 }
 _KEY = "'official:' || c.season || ':' || c.match_id"
@@ -39,6 +40,14 @@ FROM (SELECT *, {_NR} AS nr, is_tie OR match_id % 17 = 4 AS tie FROM good) c""",
     ),
     "load_season_events": """
 SELECT 'official:' || season || ':' || match_id AS match_key, innings_no, ball_seq, total_runs, batter, bowler, season FROM ev JOIN (SELECT match_id FROM good) USING (match_id) WHERE season = 1998""",
+    "load_feed_round_trip": " UNION ALL ".join(
+        f"SELECT feed_key AS match_key, '{name}' AS child, count(*) AS rows, "
+        f"CAST(sum({value}) AS BIGINT) AS total FROM {cte} x JOIN gfeed USING (match_id) {where} GROUP BY feed_key"
+        for name, cte, value, where in (
+            ("periods", "per0", "runs + CASE WHEN match_id % 4 = 1 THEN 1 ELSE 0 END", ""), ("attack_cards", "bat0", "runs", ""),
+            ("defence_cards", "bowl0", "runs_conceded", ""), ("events", "ev", "total_runs", "WHERE match_id % 3 <> 0"),
+        )
+    ),
     "s5_load_events_ids": """
 SELECT 'official:' || season || ':' || match_id AS match_key, innings_no, ball_seq, total_runs, batter, bowler, season FROM ev
 WHERE match_id IN (SELECT arg_min(match_id, 'official:' || season || ':' || match_id) FROM good WHERE season % 3 = 0 GROUP BY season)""",
