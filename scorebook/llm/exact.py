@@ -13,6 +13,8 @@ counts every row and the id stays once; a null id loses every tie.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,16 +83,21 @@ class DigestIndex:
         return found.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, batches: int = 1) -> DataFrame:
     """Every row of `docs` with the id that stays for its text; the index grows by new texts.
 
-    Returns doc_id, keep_id, group_size (rows of this batch), kept, text_sha256,
+    With several `batches` the digests are cut into as many ranges of their hash, and each
+    is joined with an index that holds the ones before it. Returns doc_id, keep_id, group_size (rows of this batch), kept, text_sha256,
     id_key, text_key. A row whose text an earlier batch brought is not kept.
     """
     digested = cut(digests(docs))
     groups = cut(candidates(digested))
-    fresh = cut(index.fresh(groups))
-    index.append(fresh)
+    parts = []
+    for batch in range(batches):
+        arriving = groups.where(F.pmod(F.xxhash64("digest"), F.lit(batches)) == batch)
+        parts.append(cut(index.fresh(arriving)))
+        index.append(parts[-1])
+    fresh = reduce(DataFrame.unionByName, parts)
     stored = index.read().select("digest", F.col("keep_id").alias("stored_id"))
     new = fresh.select("digest", F.lit(True).alias("is_new"))
     verdict = groups.hint("merge").join(stored, "digest").join(new, "digest", "left").select(

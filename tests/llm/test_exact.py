@@ -63,3 +63,14 @@ def test_no_rows(spark, none):
     idx = index(spark)
     assert exact.deduplicate(none, idx).count() == 0 and exact.keep_first(none).count() == 0
     idx.clear()
+
+
+def test_batches_give_the_rows_of_one(spark, odd, make):
+    docs = odd.union(make([(k, f"text {k % 70}" + " " * (k % 3), "en", "a") for k in range(100, 500)]))
+    one, many = index(spark), index(spark)
+    expected = sorted(exact.deduplicate(docs, one).collect(), key=str)
+    found = exact.deduplicate(docs, many, batches=3)
+    assert many.read().count() == one.read().count()
+    many.clear()  # the rows no longer need the index
+    assert sorted(found.collect(), key=str) == expected
+    one.clear()
