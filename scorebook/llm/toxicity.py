@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words are read as classes: insult and threat terms with weights, targets, negation
-and reporting words. Five small transducers over these classes (insult, threat,
-target, negation, reported speech) run together as one composed machine; for each
-clause it gives the weights of its matches, lowered inside the reach of a negation
-or a reported clause and raised when a target stands beside them. What is scored
-is the matched clause, never a word alone.
+and reporting words. Small transducers over these classes are tables that read a
+symbol and write one: negation, reported speech and target add signs to the words in
+their reach, insult and threat turn a term with its signs into a mark. They are
+composed (each reads what the one before writes) to one table that runs over a clause
+from its start, after one that runs from its end and signs targets ahead, so a clause
+takes time linear in its words. The marks give the weights of a clause's matches,
+lowered inside the reach of a negation or a reported clause and raised when a target
+stands beside them. What is scored is the matched clause, never a word alone.
 
 The insult terms are learned from labelled rows: whole words and word beginnings
 whose contexts (the words around them) are many and lie in toxic documents only,
@@ -14,7 +17,7 @@ outputs and their calibration come from the same bounded sample.
 
 Defined cases: a null, empty or wordless text scores the model's base rate; without
 labels of both kinds the seed terms decide with fixed weights; repeated rows get
-equal scores.
+equal scores and count once in the fit; very long texts and clauses are read whole.
 """
 
 from __future__ import annotations
@@ -100,8 +103,96 @@ class Lexicon:
         return found
 
 
+# Signs that transducers add to a word's class, and marks that they write in its place.
+AHEAD, CLOSE, BESIDE, NEGATED, REPORTED = (8 << k for k in range(5))
+MARK = 8 << 5
+PLAIN_MARK, NEGATED_MARK, REPORTED_MARK, THREAT_MARK, TARGETED_MARK = MARK, MARK + 1, MARK + 2, MARK + 3, 4
+ALPHABET = MARK + 8
+#: Words beside an insult, and after a threat, among which a target counts.
+TARGET_REACH, THREAT_REACH = 4, 3
+
+
+class Transducer:
+    """A finite machine as two tables: follow[state][symbol] and write[state][symbol]; it starts in state 0."""
+
+    def __init__(self, follow: list[list[int]], write: list[list[int]]):
+        self.follow, self.write = follow, write
+
+    @classmethod
+    def of(cls, states: int, step) -> Transducer:
+        """`step(state, symbol)` gives (next state, written symbol)."""
+        cells = [[step(q, x) for x in range(ALPHABET)] for q in range(states)]
+        return cls([[c[0] for c in row] for row in cells], [[c[1] for c in row] for row in cells])
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: `other` reads what this machine writes. States are the reachable pairs."""
+        number, pairs, follow, write = {(0, 0): 0}, [(0, 0)], [], []
+        for p, q in pairs:
+            row, out = [], []
+            for after, between in zip(self.follow[p], self.write[p]):
+                pair = (after, other.follow[q][between])
+                if pair not in number:
+                    number[pair] = len(pairs)
+                    pairs.append(pair)
+                row.append(number[pair])
+                out.append(other.write[q][between])
+            follow.append(row)
+            write.append(out)
+        return Transducer(follow, write)
+
+    def run(self, symbols) -> list[int]:
+        state, out = 0, []
+        for x in symbols:
+            out.append(self.write[state][x])
+            state = self.follow[state][x]
+        return out
+
+
+def _kind(symbol: int) -> int:
+    return symbol & 7 if symbol < MARK else OTHER
+
+
+def _fading(opens: int, stays: int | None, reach: int, sign: int) -> Transducer:
+    """Adds `sign` to the `reach` words after one of class `opens`; class `stays` takes no place in it."""
+
+    def step(left: int, symbol: int) -> tuple[int, int]:
+        kind = _kind(symbol)
+        if kind == opens:
+            return reach, symbol
+        if kind == stays:
+            return left, symbol
+        return max(0, left - 1), symbol | sign if left and symbol < MARK else symbol
+
+    return Transducer.of(reach + 1, step)
+
+
+def _insult(_: int, symbol: int) -> tuple[int, int]:
+    if _kind(symbol) != INSULT:
+        return 0, symbol
+    mark = NEGATED_MARK if symbol & NEGATED else REPORTED_MARK if symbol & REPORTED else PLAIN_MARK
+    return 0, mark | (TARGETED_MARK if symbol & (AHEAD | BESIDE) else 0)
+
+
+def _threat(_: int, symbol: int) -> tuple[int, int]:
+    """The last machine: a threat before a near target is marked, words without a mark become silence."""
+    if _kind(symbol) == THREAT and symbol & CLOSE and not symbol & NEGATED:
+        return 0, THREAT_MARK
+    return 0, symbol if symbol >= MARK else OTHER
+
+
+#: Targets ahead, read from the end of the clause; then what stands before a word and the patterns themselves.
+BACKWARD = _fading(TARGET, None, TARGET_REACH, AHEAD).then(_fading(TARGET, None, THREAT_REACH, CLOSE))
+FORWARD = (
+    _fading(NEGATION, REPORT, NEGATION_REACH, NEGATED)
+    .then(_fading(REPORT, NEGATION, REPORT_REACH, REPORTED))
+    .then(_fading(TARGET, None, TARGET_REACH, BESIDE))
+    .then(Transducer.of(1, _insult))
+    .then(Transducer.of(1, _threat))
+)
+
+
 class Machine:
-    """The composed transducers: states are (words left under negation, under a report, target seen)."""
+    """The grammar over clauses: both composed transducers, weighted by the terms that they mark."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
@@ -112,25 +203,20 @@ class Machine:
         symbols = [read(w) for w in words]
         if not any(s in (INSULT, THREAT) for s, _ in symbols):
             return None
-        negated = reported = 0
-        targets = [i for i, (s, _) in enumerate(symbols) if s == TARGET]
+        signed = BACKWARD.run(s for s, _ in reversed(symbols))
         out = dict.fromkeys(OUTPUTS, 0.0)
-        for i, (symbol, weight) in enumerate(symbols):
-            if symbol == NEGATION:
-                negated = NEGATION_REACH
+        for mark, (_, weight) in zip(FORWARD.run(reversed(signed)), symbols):
+            if mark < MARK:
                 continue
-            if symbol == REPORT:
-                reported = REPORT_REACH
-                continue
-            if symbol == INSULT:
-                kind = "negated" if negated else "reported" if reported else "plain"
-                out[kind] += weight
-                out["strongest"] = max(out["strongest"], 0.0 if kind == "negated" else weight)
-                if any(abs(i - t) <= 4 for t in targets):
-                    out["targeted"] += weight
-            elif symbol == THREAT and any(0 < t - i <= 3 for t in targets) and not negated:
+            if mark == THREAT_MARK:
                 out["threat"] += 1.0
-            negated, reported = max(0, negated - 1), max(0, reported - 1)
+                continue
+            kind = mark & ~TARGETED_MARK
+            out["negated" if kind == NEGATED_MARK else "reported" if kind == REPORTED_MARK else "plain"] += weight
+            if kind != NEGATED_MARK:
+                out["strongest"] = max(out["strongest"], weight)
+            if mark & TARGETED_MARK:
+                out["targeted"] += weight
         if not any(out.values()):
             return None
         out["clauses"] = 1.0

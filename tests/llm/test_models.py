@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +148,71 @@ def test_grammar_scores_clauses():
     assert apart[0] > 0 and inside[0] == 0
 
 
+def simulated(symbols):
+    """Outputs of a clause of (class, weight), by looking at the words around each term."""
+    out = dict.fromkeys(toxicity.OUTPUTS, 0.0)
+
+    def reached(i, opens, stays, reach):
+        gap = 0
+        for kind, _ in reversed(symbols[:i]):
+            if kind == opens:
+                return gap < reach
+            gap += kind != stays
+        return False
+
+    for i, (kind, weight) in enumerate(symbols):
+        negated = reached(i, toxicity.NEGATION, toxicity.REPORT, 3)
+        reported = reached(i, toxicity.REPORT, toxicity.NEGATION, 8)
+        gaps = [k - i for k, (other, _) in enumerate(symbols) if other == toxicity.TARGET]
+        if kind == toxicity.INSULT:
+            out["negated" if negated else "reported" if reported else "plain"] += weight
+            out["strongest"] = max(out["strongest"], 0.0 if negated else weight)
+            out["targeted"] += weight * any(abs(g) <= 4 for g in gaps)
+        if kind == toxicity.THREAT and not negated and any(0 < g <= 3 for g in gaps):
+            out["threat"] += 1
+    out["clauses"] = float(any(out.values()))
+    return out if out["clauses"] else None
+
+
+def test_composed_transducers_against_direct_simulation():
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "scum": 0.5}, {})
+    machine, seen = toxicity.Machine(lexicon), 0
+    for _ in range(4000):
+        share = rng.random()
+        clause = [
+            rng.choice("idiot scum kill you not said he".split()) if rng.random() < share else "w"
+            for _ in range(rng.randint(0, 25))
+        ]
+        expected = simulated([lexicon.read(w) for w in clause])
+        assert machine.clause(clause) == expected, clause
+        seen += expected is not None
+    assert seen > 1000
+    # All reachable states of the parts together: 3 + 1, 8 + 1 and 4 + 1 at most.
+    assert len(toxicity.FORWARD.follow) <= 4 * 9 * 5 and len(toxicity.BACKWARD.follow) <= 5 * 4
+
+
+def test_composition_is_running_one_after_the_other():
+    rng = random.Random(9)
+    make_one = lambda: toxicity.Transducer.of(
+        5, lambda q, x: (rng.randrange(5), rng.randrange(toxicity.ALPHABET))
+    )
+    a, b = make_one(), make_one()
+    symbols = [rng.randrange(toxicity.ALPHABET) for _ in range(3000)]
+    assert a.then(b).run(symbols) == b.run(a.run(symbols))
+
+
+def test_a_long_clause_takes_linear_time():
+    machine = toxicity.Machine(toxicity.Lexicon({"idiot": 1.0}, {}))
+    times = []
+    for n in (20_000, 200_000):
+        words_ = "you idiot not a".split() * (n // 4)
+        started = time.perf_counter()
+        assert machine.clause(words_)["targeted"] == n / 4
+        times.append(time.perf_counter() - started)
+    assert times[1] < 40 * times[0]
+
+
 def test_copies_of_a_sentence_are_no_evidence():
     rng = random.Random(3)
     clean = [{"doc_id": k, "label": 0, "text": " ".join(words(rng, "en", 50))} for k in range(200)]
