@@ -1,16 +1,23 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts come from every labelled document: each task returns its counts by
-language and bucket, Spark adds them, and the table (languages x BUCKETS) becomes
-a log-probability matrix of bounded size that is broadcast. Documents are scored
-in numpy, many short ones or one long one at a time.
+language and bucket, Spark adds them and turns each language into one row of log
+probabilities; the rows are a matrix of bounded size that is broadcast. A batch of
+documents is scored at once: its n-grams are counted into a sparse matrix (document,
+bucket, count) that is multiplied with the log probabilities; a long text is counted
+slice by slice.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is
-every text when there is nothing to learn from.
+every text when there is nothing to learn from. Beyond MOST_LANGUAGES labels those
+with the most n-grams are learned (ties to the label that comes first by code point)
+and every document is given the likeliest of them; no label makes the fit fail.
+Repeated rows and repeated ids count as often as they come, each is scored alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,23 +29,26 @@ from .common import id_checksum, mix, per_batch, ship, texts_of
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 256
 SMOOTHING = 0.5
-#: Characters scored at once.
+#: Characters and documents counted at once.
 SLICE = 400_000
+DOCUMENTS = 64
+#: Numbers of the product held at once.
+CELLS = 1 << 23
 #: Log-odds count as if a text had this many n-grams, so that scores stay apart from 1.
 EVIDENCE = 40.0
 UNKNOWN = "und"
 HELD_OUT_OF, HELD_OUT = 4, 2
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of all n-grams of 1 to 3 characters; text is lower case."""
+def grams(text: str, starts: int | None = None) -> np.ndarray:
+    """Buckets of the n-grams of 1 to 3 characters that begin at the first `starts` characters; text is lower case."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    found = [codes]
+    found = [codes[:starts]]
     if len(codes) > 1:
         two = (codes[:-1] << np.uint64(21)) | codes[1:]
-        found.append(two + np.uint64(1 << 43))
+        found.append(two[:starts] + np.uint64(1 << 43))
         if len(codes) > 2:
-            found.append((two[:-1] << np.uint64(21)) | codes[2:])
+            found.append(((two[:-1] << np.uint64(21)) | codes[2:])[:starts])
     return (mix(np.concatenate(found)) >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
@@ -75,35 +85,77 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def log_rows(docs: DataFrame) -> DataFrame:
+    """lang, n (its n-grams), logs (log P(bucket | lang), single precision): one group of at most BUCKETS rows a label."""
+
+    def run(group: pa.Table) -> pa.Table:
+        total = np.full(BUCKETS, SMOOTHING)
+        total[group.column("bucket").to_numpy()] += group.column("n").to_numpy()
+        logs = np.log(total / total.sum()).astype("<f4")
+        return pa.table({
+            "lang": group.column("lang").slice(0, 1), "n": pa.array([int(group.column("n").to_numpy().sum())]),
+            "logs": pa.array([logs.tobytes()], pa.binary()),
+        })
+
+    return counts(docs).groupBy("lang").applyInArrow(run, "lang string, n long, logs binary")
+
+
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and the matrix log P(bucket | language); documents weigh alike in the prior."""
-    found = counts(docs).toArrow()
-    names, place = np.unique(np.array(found.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} labels; the matrix is bounded to {MOST_LANGUAGES} languages")
-    matrix = np.full((len(names), BUCKETS), SMOOTHING)
-    matrix[place, found.column("bucket").to_numpy()] += found.column("n").to_numpy()
-    if len(names):
-        matrix = np.log(matrix / matrix.sum(axis=1, keepdims=True))
-    return list(map(str, names)), matrix.astype(np.float32)
+    found = log_rows(docs).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    found.sort(key=lambda row: row["lang"])
+    rows = [np.frombuffer(bytes(row["logs"]), "<f4") for row in found]
+    return [row["lang"] for row in found], np.array(rows, np.float32).reshape(len(rows), BUCKETS)
+
+
+def sparse_counts(parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bucket, count) of the n-grams of (place, text), by place and bucket."""
+    found = [grams(text, SLICE) for _, text in parts]
+    places = np.repeat(np.array([at for at, _ in parts]), [len(f) for f in found])
+    dense = np.bincount(places * BUCKETS + np.concatenate(found))
+    cells = np.flatnonzero(dense)
+    return cells // BUCKETS, cells % BUCKETS, dense[cells]
+
+
+def slices(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Parts (number of the text, part) of prepared texts, gathered up to SLICE characters and
+    DOCUMENTS parts. A part ends with two characters of the next, so that each n-gram of the
+    text begins at the first SLICE characters of one part."""
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, len(text), SLICE):
+            part = text[at : at + SLICE + 2]
+            if held and (size + len(part) > SLICE or len(held) == DOCUMENTS):
+                yield held
+                held, size = [], 0
+            held.append((k, part))
+            size += len(part)
+    if held:
+        yield held
 
 
 def predict(names: list[str], matrix: np.ndarray, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Label and score of each text by the sparse product of a batch's counts and the matrix."""
     labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if not names:
+    able = [k for k, text in enumerate(texts) if names and any(map(str.isalpha, text))]
+    if not able:
         return labels, scores
-    for i, text in enumerate(texts):
-        if not any(map(str.isalpha, text)):
-            continue
-        text = prepared(text)
-        total, n = np.zeros(len(names)), 0
-        for at in range(0, len(text), SLICE):
-            buckets = grams(text[at : at + SLICE + 2] if at + SLICE < len(text) else text[at:])
-            n += len(buckets)
-            total += matrix[:, buckets].sum(axis=1, dtype=np.float64)
-        best = int(total.argmax())
-        odds = (total - total[best]) / n * min(n, EVIDENCE)
-        labels[i], scores[i] = names[best], float(1.0 / np.exp(odds).sum())
+    totals, sizes = np.zeros((len(able), len(names))), np.zeros(len(able))
+    columns, step = np.ascontiguousarray(matrix.T), max(1, CELLS // len(names))
+    for parts in slices([prepared(texts[k]) for k in able]):
+        first = parts[0][0]
+        place, bucket, n = sparse_counts([(k - first, part) for k, part in parts])
+        sizes[first : parts[-1][0] + 1] += np.bincount(place, n)
+        for at in range(0, len(n), step):
+            cells = slice(at, at + step)
+            starts = np.flatnonzero(np.diff(place[cells], prepend=-1))
+            product = columns[bucket[cells]] * n[cells, None].astype(float)
+            totals[place[cells][starts] + first] += np.add.reduceat(product, starts)
+    best = totals.argmax(axis=1)
+    top = np.take_along_axis(totals, best[:, None], 1)
+    odds = (totals - top) / sizes[:, None] * np.minimum(sizes, EVIDENCE)[:, None]
+    for k, label, score in zip(able, best, 1.0 / np.exp(odds).sum(axis=1)):
+        labels[k], scores[k] = names[label], float(score)
     return labels, scores
 
 

@@ -1,9 +1,11 @@
 """Language, toxicity and quality: held-out accuracy, fixed counts against brute force, odd rows."""
 
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,6 +60,58 @@ def test_language_counts_leave_held_out_documents_alone(make):
     assert language.train(docs)[0] == ["yy"]
 
 
+def brute_language(rows, texts):
+    """Counts in dictionaries, one n-gram at a time; label and score of each text."""
+    grams = lambda text: [
+        int(language.grams(text[i : i + k])[-1]) for k in (1, 2, 3) for i in range(len(text) - k + 1)
+    ]
+    totals = {}
+    for text, lang in rows:
+        for g in grams(language.prepared(text)):
+            totals.setdefault(lang, Counter())[g] += 1
+    out = []
+    for text in texts:
+        found = grams(language.prepared(text))
+        logs = {}
+        for lang, n in sorted(totals.items()):
+            mass = sum(n.values()) + language.SMOOTHING * language.BUCKETS
+            logs[lang] = sum(math.log((n[g] + language.SMOOTHING) / mass) for g in found)
+        best = max(logs, key=logs.get)
+        scale = min(len(found), language.EVIDENCE) / len(found)
+        out.append((best, 1 / sum(math.exp((v - logs[best]) * scale) for v in logs.values())))
+    return out
+
+
+@pytest.mark.parametrize("size", [None, 7, 50])
+def test_language_against_brute_force(make, monkeypatch, size):
+    rng = random.Random(5)
+    rows = [
+        (k, " ".join(words(rng, lang, rng.randint(1, 12))) + rng.choice(["", " É 𝔘 ß", "\n\n x"]), lang, "a")
+        for k in range(60) for lang in [rng.choice(list(SYLLABLES))]
+    ]
+    docs = make(rows + rows[:5])
+    learned = [(t, lang) for i, t, lang, _ in rows + rows[:5] if checksum(i) % 4 != 2]
+    model = language.train(docs)
+    if size:
+        monkeypatch.setattr(language, "SLICE", size)
+        monkeypatch.setattr(language, "CELLS", size)
+    texts = [t for _, t, _, _ in rows]
+    labels, scores = language.predict(*model, texts)
+    expected = brute_language(learned, texts)
+    assert labels == [label for label, _ in expected]
+    assert np.allclose(scores, [score for _, score in expected], atol=1e-4)
+    assert language.predict(*model, ["12", *texts[:3], ""])[0] == ["und", *labels[:3], "und"]
+
+
+def test_more_labels_than_the_matrix_holds(make, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    ids = [i for i in range(100) if checksum(i) % 4 != 2]
+    docs = make([(ids[0], "some words here", "cc", None), (ids[1], "other", "bb", None), (ids[2], "andre", "aa", None)])
+    model = language.train(docs)
+    assert model[0] == ["aa", "cc"]
+    assert {r.lang_pred for r in language.identify(docs, model).collect()} <= {"aa", "cc"}
+
+
 def brute_rules(text):
     text = text or ""
     found = re.findall(r"[^\x20\x09-\x0D]+", text)
