@@ -12,7 +12,9 @@ positive, also rewritten into the looser formats; other candidates of the sample
 and rewritten look-alikes (dates, versions, ranges, amounts) are negative.
 
 Defined cases: a null or empty text has no spans; positions count code points,
-ends are exclusive; a sample without candidates leaves the base patterns alone.
+ends are exclusive; a sample without candidates leaves the base patterns alone, as an
+empty table does, whose result is empty. A null id stays null; repeated rows are each
+searched and one row of the fit.
 """
 
 from __future__ import annotations
@@ -213,7 +215,9 @@ def train(docs: DataFrame) -> dict | None:
     able = rows.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
     chosen = able.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).orderBy("key").limit(SAMPLE)
     keyed = able.withColumn("key", F.xxhash64("doc_id", "text"))
-    return fit_in_one_task(keyed.join(F.broadcast(chosen.select("key")), "key", "left_semi").select("doc_id", "text"), fit)
+    # Repeated rows share a key; one of each enters the fit, however many there are.
+    rows = keyed.join(F.broadcast(chosen.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    return fit_in_one_task(rows.select("doc_id", "text"), fit)
 
 
 def spans_of(text: str, model: dict | None) -> tuple[list[Span], list[Span]]:

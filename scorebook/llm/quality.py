@@ -9,6 +9,8 @@ Arrow batches against fixed thresholds.
 
 Defined cases: a null or empty text has no words and fails the rules; without
 labels of both kinds the rules decide alone; labels that are null are not used.
+Repeated rows are each judged alike and are one row of the fit; texts longer than
+SAMPLE_CHARS are judged whole and left out of the fit.
 """
 
 from __future__ import annotations
@@ -134,7 +136,8 @@ def labelled_sample(
 ) -> DataFrame:
     """doc_id, text, label, stands_for of at most so many rows of each label.
 
-    `rest_of` leaves out ids whose checksum it divides; stands_for is the number of labelled rows to one of the sample.
+    Repeated rows of a chosen id and label are one row here; of different texts of
+    one id the first by code point is taken. `rest_of` leaves out ids whose checksum it divides; stands_for is the number of labelled rows to one of the sample.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -148,7 +151,8 @@ def labelled_sample(
 
     chosen = some(0, zeros).union(some(1, ones))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    found = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label", "stands_for").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict | None:

@@ -314,3 +314,12 @@ def test_threshold_stays_when_the_caps_bind(spark, make, monkeypatch):
     assert kept[0] > 0.7 and kept[1] > 0.7 and kept[2] < 0.3
     base = [learn.sigmoid(m[1]["bias"]) for m in (whole, capped)]
     assert abs(base[0] - base[1]) < 0.05
+
+
+def test_repeated_rows_are_one_row_of_the_fit(spark, make, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    docs = make([(k, f"text {k}", "en", "a") for k in range(50)] + [(7, "text 7", "en", "a")] * 400 + [(8, "a text", "en", "a")])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(50)] + [(7, 1, 0)] * 30, "doc_id long, quality int, toxic int")
+    sample = quality.labelled_sample(docs, labels, "quality", 100, 100).collect()
+    assert sorted((r.doc_id, r.text) for r in sample) == sorted((k, "a text" if k == 8 else f"text {k}") for k in range(50))
+    assert quality.labelled_sample(docs, labels, "quality", 10, 10).count() <= 20

@@ -85,3 +85,11 @@ def test_documents(spark, odd, make, documents, none):
             assert r.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
             assert set(filter(None, pii.written(base).split(","))) <= set(r.spans.split(","))
     assert pii.find(none, pii.train(none)).count() == 0
+
+
+def test_repeated_rows_are_one_row_of_the_fit(make, monkeypatch):
+    docs = make([(k, f"call 555-010-{k}", "en", "a") for k in range(30)] + [(7, "call 555-010-7", "en", "a")] * 500)
+    seen = []
+    monkeypatch.setattr(pii, "fit_in_one_task", lambda rows, fit: seen.extend(r.doc_id for r in rows.collect()))
+    pii.train(docs)
+    assert sorted(seen) == list(range(30))
