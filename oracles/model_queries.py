@@ -142,6 +142,26 @@ def _m10(spark, sf_dir):
     return learn.award_task(awards(spark, sf_dir), TEST_FROM, QUICK).metrics
 
 
+@register("m6_class_balance")
+def _m6(spark, sf_dir):
+    features = history.shared(full_features(spark, sf_dir))
+    rows = {"winner": features, "first_innings_score": features, "chase": chases(spark, sf_dir), "award": awards(spark, sf_dir)}
+    out = None
+    for name, task in learn.TASKS.items():
+        table = learn.class_balance(task, rows[name], TEST_FROM)
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+@register("m22_training_summary")
+def _m22(spark, sf_dir):
+    features = history.shared(full_features(spark, sf_dir))
+    trained = learn.train_all(features, chases(spark, sf_dir, 3), awards(spark, sf_dir), TEST_FROM, QUICK)
+    return learn.training_summary(trained).select(
+        "task", "model", "family", "is_best", "train_rows", "support"
+    )
+
+
 @register("m10_top1_accuracy")
 def _m10_top1(spark, sf_dir):
     """The batting impact stands in for a score, so both engines can rank it."""

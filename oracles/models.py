@@ -17,6 +17,14 @@ SELECT model, count(*) AS support, count(*) FILTER (WHERE p >= 0.5 AND label = 1
 SELECT a.task, a.model AS best_model, r.model AS best_by_rmse FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY roc_auc DESC NULLS LAST, model) AS n FROM cand) a
 JOIN (SELECT *, row_number() OVER (PARTITION BY task ORDER BY rmse, model) AS n FROM cand) r USING (task) WHERE a.n = 1 AND r.n = 1""",
     "reg": "SELECT l_returnflag AS model, l_quantity * 3 AS y, l_quantity * 3 + l_suppkey % 31 - 12 AS p FROM lineitem",
+    "lab": """
+SELECT 'winner' AS task, season, target_team1_wins AS y FROM feat WHERE is_completed UNION ALL SELECT 'first_innings_score', season, first_innings_runs FROM feat WHERE is_completed AND first_innings_runs IS NOT NULL
+UNION ALL SELECT 'chase', season, target_chase_success FROM ch2 UNION ALL SELECT 'award', season, target_is_award FROM aw5""",
+    "parted": """
+SELECT task, y, CASE WHEN season < CASE WHEN max(season) OVER w < 2000 AND max(season) OVER w > min(season) OVER w THEN max(season) OVER w ELSE 2000 END THEN 'train' ELSE 'test' END AS part
+FROM lab WINDOW w AS (PARTITION BY task)""",
+    "twofold": "SELECT * FROM parted UNION ALL SELECT task, 1 - y, part FROM parted WHERE task = 'winner' AND part = 'train'",
+    "bal": "SELECT task, part, count(y) AS rows, CASE WHEN task <> 'first_innings_score' THEN coalesce(CAST(sum(y) AS DOUBLE), 0.0::DOUBLE) END AS positives FROM twofold GROUP BY task, part",
     "top1": "SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY runs DESC, player DESC) AS n FROM aw5 WHERE target_is_award IS NOT NULL",
 }
 
@@ -27,6 +35,10 @@ FROM feat WHERE is_completed""",
     "m2_split_by_season": """
 SELECT 2000 AS test_from, CASE WHEN season < 2000 THEN 'train' ELSE 'test' END AS part, season, count(*) AS rows FROM hdr GROUP BY season
 UNION ALL SELECT 2100, CASE WHEN season < (SELECT max(season) FROM hdr) THEN 'train' ELSE 'test' END, season, count(*) FROM hdr GROUP BY season""",
+    "m6_class_balance": """
+SELECT t.task, p.part, coalesce(b.rows, 0) AS rows, CASE WHEN t.task <> 'first_innings_score' THEN coalesce(b.positives, 0.0::DOUBLE) END AS positives,
+  CASE WHEN t.task = 'award' AND p.part = 'train' THEN (coalesce(b.rows, 0) - greatest(coalesce(b.positives, 0.0::DOUBLE), 1.0::DOUBLE)) / greatest(coalesce(b.positives, 0.0::DOUBLE), 1.0::DOUBLE) END AS positive_weight
+FROM (VALUES ('winner'), ('first_innings_score'), ('chase'), ('award')) t(task) CROSS JOIN (VALUES ('train'), ('test')) p(part) LEFT JOIN bal b ON b.task = t.task AND b.part = p.part""",
     "m11_classification_metrics": """
 SELECT model, support, tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative, round(ll, 6) AS log_loss, round(br, 6) AS brier, positive_rate,
   CAST(tp + tn AS DOUBLE) / support AS accuracy, coalesce(CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) END, 0.0::DOUBLE) AS precision,

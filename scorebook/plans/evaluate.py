@@ -1,9 +1,9 @@
 """Metrics over scored predictions, computed as aggregations.
 
 Ranks are needed for AUC and ROC. Predictions are first summed per distinct score,
-then scores are cut into ranges at approximate quantiles and the running state of
-:mod:`scorebook.functions.timeline` is carried from range to range, so no task
-ever sorts all predictions.
+then dealt to range partitions by score, and the running state of
+:mod:`scorebook.functions.timeline` is carried from range to range (one total a
+range), so no task ever sorts all predictions and no score is compared with cuts.
 """
 
 from __future__ import annotations
@@ -16,38 +16,19 @@ from pyspark.sql import functions as F
 from scorebook.functions.rates import count_where, flag, ratio
 from scorebook.functions.timeline import Running, running, shared
 
-# Distinct scores of a range on average, and the least and most ranges of a key.
-RANGE_SCORES = 20_000
-LEAST_RANGES, MOST_RANGES = 128, 4096
 LOWER_IS_BETTER = ("rmse", "mae", "log_loss", "brier", "mean_error")
 
 
 def _per_score(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positives and negatives per distinct score, with a range number that grows
-    as the score falls. Every key has cuts of its own, as many as its scores need."""
-    table = shared(
-        predictions.groupBy(*keys, "probability").agg(
-            count_where(F.col("label") == 1).alias("positives"),
-            count_where(F.col("label") == 0).alias("negatives"),
-        )
-    )
-    ranges = min(MOST_RANGES, max(LEAST_RANGES, table.count() // RANGE_SCORES))
-    fractions = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cut = F.percentile_approx("probability", fractions, F.lit(10 * MOST_RANGES))
-    if keys:
-        cuts = table.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(cut.alias("__cuts"))
-        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-        table = table.join(cuts, same).drop(*[f"__{c}" for c in keys])
-    else:
-        table = table.withColumn("__cuts", table.select(cut).scalar())
-    return shared(
-        table.withColumn(
-            "score_range",
-            -F.size(F.filter("__cuts", lambda cut: cut < F.col("probability"))),
-        )
-        .withColumn("falling", -F.col("probability"))
-        .drop("__cuts")
-    )
+    """Positives and negatives per distinct score, dealt over range partitions of
+    (key, falling score). The partition number is written with the row, so it is the
+    same wherever the row is read again."""
+    table = predictions.groupBy(*keys, "probability").agg(
+        count_where(F.col("label") == 1).alias("positives"),
+        count_where(F.col("label") == 0).alias("negatives"),
+    ).withColumn("falling", -F.col("probability"))
+    dealt = table.repartitionByRange(*keys, "falling")
+    return shared(dealt.withColumn("score_range", F.spark_partition_id()))
 
 
 def _ranked(predictions: DataFrame, keys: Sequence[str], inclusive: bool) -> DataFrame:

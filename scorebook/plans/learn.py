@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
@@ -254,36 +257,74 @@ def train(
     return result
 
 
+def task_split(task: Task, rows: DataFrame, test_from: int) -> tuple[DataFrame, DataFrame]:
+    """What a task is trained and tested on. The winner task learns from both
+    orientations of every contest and is tested on the given one."""
+    if task == WINNER:
+        fit, held_out = split_by_season(rows.where("is_completed"), test_from)
+        return fit.unionByName(history.mirror(fit).drop("is_mirrored")), held_out
+    if task == SCORE:
+        rows = history.score_features(rows)
+    return split_by_season(rows, test_from)
+
+
+def class_balance(task: Task, rows: DataFrame, test_from: int) -> DataFrame:
+    """Labelled rows of both parts, their positives, and the weight that the forest
+    gives a positive row of the training part; null where labels are no classes."""
+    out = None
+    for part, frame in zip(("train", "test"), task_split(task, rows, test_from)):
+        n, positives = F.count(task.label), F.sum(F.col(task.label).cast("double"))
+        counted = frame.agg(n.alias("rows"), positives.alias("positives")).select(
+            F.lit(task.name).alias("task"), F.lit(part).alias("part"), "rows",
+            F.when(F.lit(task.classification), F.coalesce("positives", F.lit(0.0))).alias("positives"),
+        )
+        out = counted if out is None else out.unionByName(counted)
+    weighted = F.lit(task.classification and task.contest_rank) & (F.col("part") == "train")
+    most = F.greatest(F.col("positives"), F.lit(1.0))
+    return out.withColumn("positive_weight", F.when(weighted, (F.col("rows") - most) / most))
+
+
 def winner_task(features: DataFrame, test_from: int, effort: Effort = Effort(), **options) -> Trained:
-    """Trained on both orientations of every contest, tested on the given one."""
-    fit, held_out = split_by_season(features.where("is_completed"), test_from)
-    mirrored = history.mirror(fit).drop("is_mirrored")
-    return train(WINNER, fit.unionByName(mirrored), held_out, effort, **options)
+    return train(WINNER, *task_split(WINNER, features, test_from), effort, **options)
 
 
 def score_task(features: DataFrame, test_from: int, effort: Effort = Effort(), **options) -> Trained:
-    rows = history.score_features(features)
-    return train(SCORE, *split_by_season(rows, test_from), effort, **options)
+    return train(SCORE, *task_split(SCORE, features, test_from), effort, **options)
 
 
 def chase_task(chases: DataFrame, test_from: int, effort: Effort = Effort(), **options) -> Trained:
-    return train(CHASE, *split_by_season(chases, test_from), effort, **options)
+    return train(CHASE, *task_split(CHASE, chases, test_from), effort, **options)
 
 
 def award_task(awards: DataFrame, test_from: int, effort: Effort = Effort(), **options) -> Trained:
-    return train(AWARD, *split_by_season(awards, test_from), effort, **options)
+    return train(AWARD, *task_split(AWARD, awards, test_from), effort, **options)
 
 
 def train_all(
     features: DataFrame, chases: DataFrame, awards: DataFrame, test_from: int,
-    effort: Effort = Effort(), **options,
+    effort: Effort = Effort(), at_once: int = len(TASKS), **options,
 ) -> dict[str, Trained]:
-    return {
-        "winner": winner_task(features, test_from, effort, **options),
-        "first_innings_score": score_task(features, test_from, effort, **options),
-        "chase": chase_task(chases, test_from, effort, **options),
-        "award": award_task(awards, test_from, effort, **options),
-    }
+    """Every task, ``at_once`` of them as concurrent Spark jobs.
+
+    A fit is many short jobs that leave executors idle between them, so the tasks
+    overlap. Each thread inherits the caller's local properties and works in a
+    scheduler pool named after its task, which the cluster may weigh
+    (``spark.scheduler.mode`` FAIR). Both first tasks read ``features``: pass a
+    :func:`shared` frame. An error of one task is raised after all have ended.
+    """
+    spark = features.sparkSession
+    carried = inheritable_thread_target(spark)
+    rows = {WINNER.name: features, SCORE.name: features, CHASE.name: chases, AWARD.name: awards}
+
+    def one(task: Task) -> Trained:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", task.name)
+        return train(task, *task_split(task, rows[task.name], test_from), effort, **options)
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        started = {
+            name: pool.submit(carried(partial(one, task))) for name, task in TASKS.items()
+        }
+    return {name: future.result() for name, future in started.items()}
 
 
 def training_summary(trained: dict[str, Trained]) -> DataFrame:

@@ -60,3 +60,66 @@ def test_split_falls_back_to_the_last_season(spark):
     rows = spark.range(30).selectExpr("id", "cast(2020 + id % 3 as int) as season")
     train, test = learn.split_by_season(rows, 2030)
     assert train.count() == 20 and {r.season for r in test.collect()} == {2022}
+
+
+def brute_auc(rows):
+    """Share of (positive, negative) pairs in order, by sorting everything."""
+    import numpy as np
+
+    label, p = (np.array(c) for c in zip(*rows))
+    _, place, size = np.unique(p, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(size) - (size - 1) / 2.0)[place]
+    ones = label.sum()
+    return (rank[label == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(label) - ones))
+
+
+def test_ranks_of_many_distinct_scores(spark):
+    """A million distinct scores, nine tenths of them of one model; the other model has a null name."""
+    rows = spark.range(1_000_000).select(
+        F.when(F.col("id") % 10 != 0, F.lit("big")).alias("model"),
+        (F.xxhash64("id") % 3 == 0).cast("int").alias("label"),
+        ((F.col("id") * 7919 % 1_000_003) / F.lit(1_000_003.0)).alias("probability"),
+    )
+    seen = {}
+    for r in rows.toLocalIterator():
+        seen.setdefault(r.model, []).append((r.label, r.probability))
+    ranked = evaluate._ranked(rows, ["model"], inclusive=False)
+    assert ranked.count() == 1_000_000 and ranked.select("score_range").distinct().count() > 4
+    plan = ranked._jdf.queryExecution().toString()
+    assert "percentile" not in plan and "filter(" not in plan
+    pairs = F.col("negatives") * (2 * F.col("positives_above") + F.col("positives"))
+    found = ranked.groupBy("model").agg((F.sum(pairs) / (2 * F.sum("positives") * F.sum("negatives"))).alias("auc"))
+    for r in found.collect():
+        assert r.auc == pytest.approx(brute_auc(seen[r.model]), abs=1e-12)
+    last = evaluate.roc_points(rows.where("model is null"), ["model"]).agg(F.max("fpr"), F.max("tpr"), F.count("*")).first()
+    assert tuple(last) == (1.0, 1.0, 100_000)
+
+
+def test_tied_scores_without_keys(spark):
+    rows = spark.range(3000).selectExpr("cast(id % 7 = 0 as int) label", "id % 11 / 11.0d as probability")
+    value = evaluate.classification_metrics(rows).first()["roc_auc"]
+    assert value == pytest.approx(brute_auc([tuple(r) for r in rows.collect()]))
+    assert evaluate.classification_metrics(rows.limit(0), ["label"]).count() == 0
+
+
+def test_tasks_train_at_once_and_alike(spark, awards, monkeypatch):
+    import threading
+
+    pools, meet = [], threading.Barrier(2, timeout=120)
+    plain = learn.train
+
+    def watched(task, *rows, **options):
+        pools.append((task.name, spark.sparkContext.getLocalProperty("spark.scheduler.pool"), spark.sparkContext.getLocalProperty("caller")))
+        meet.wait()
+        return plain(task, *rows, **options)
+
+    monkeypatch.setattr(learn, "train", watched)
+    monkeypatch.setattr(learn, "TASKS", {"award": learn.AWARD, "again": learn.AWARD})
+    spark.sparkContext.setLocalProperty("caller", "me")
+    effort = learn.Effort(candidates=(learn.LINEAR,))
+    trained = learn.train_all(awards, awards, awards, 2022, effort)
+    assert pools == [("award", "award", "me")] * 2
+    one, two = (trained[n].metrics.drop("train_seconds").first() for n in ("award", "again"))
+    assert one == two and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    summary = learn.training_summary(trained).collect()
+    assert [r.is_best for r in summary] == [True, True] and all(r.train_rows == 240 for r in summary)
