@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, drop_rows, mix, per_batch, row_key, scratch, ship
-from .simhash import components, forest, majority_bits, near_pairs, shingle_hashes
+from .simhash import forest, majority_bits, near_pairs, shingle_hashes, star
 
 SHINGLE = 5
 SIMILAR_PERCENT = 80
@@ -232,6 +232,26 @@ def one_group(buckets: DataFrame, choose: Callable[[str], Column]) -> DataFrame:
         choose("pivot").alias("key"), *(F.first(c).alias(c) for c in ("fp", "size", "root")))
 
 
+def unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two links upwards, or one upwards and one downwards."""
+    up, down = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("u").alias("node"), up.alias("up"), down.alias("down")).union(
+        edges.select(F.col("v").alias("node"), down.alias("up"), up.alias("down")))
+    both = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1)).limit(1).count() > 0
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """node, root (the least node reachable) for every node with a link; written edges are u > v, each once.
+
+    Where no node is unsettled, every link leads from a member to the least node of its group:
+    the shape ends the rounds, not a round that changes nothing.
+    """
+    while unsettled(edges):
+        edges = cut(star(cut(star(edges, large=True)), large=False))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
 def near_roots(docs: DataFrame) -> DataFrame:
     """node, root of every text with a near copy; the root is the least node of its group."""
     nodes = cut(marks(docs).dropDuplicates(["node"]))
@@ -239,13 +259,16 @@ def near_roots(docs: DataFrame) -> DataFrame:
     shared = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     buckets = cut(spread.join(shared, "key").withColumn("root", F.col("node")))
     sets = cut(shingle_sets(docs, buckets.select("node").distinct()))
-    found, roots = None, None
+    roots = None
     for choose in (F.min, F.max, None):
-        members = buckets if choose is None else one_group(buckets, choose)
-        more = links(cut(members), sets)
-        found = cut(more if found is None else found.unionByName(more))
-        roots = components(found)
-        buckets = cut(unjoined(buckets, roots))
+        if roots is not None:
+            buckets = cut(unjoined(buckets, roots))
+        members = buckets if choose is None else cut(one_group(buckets, choose))
+        more = links(members, sets)
+        if roots is not None:
+            # What earlier rounds joined comes in as finished stars.
+            more = more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))).distinct()
+        roots = rooted(cut(more))
     return roots
 
 

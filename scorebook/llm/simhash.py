@@ -253,23 +253,25 @@ def links(distinct: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "u long, v long").distinct()
 
 
+def star(pairs: DataFrame, large: bool) -> DataFrame:
+    """One step towards stars: links to the least neighbour, of greater neighbours (large) or smaller ones."""
+    if large:
+        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = pairs
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = both.join(least, "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+            least.select("u", F.col("m").alias("v")))
+    return out.where("u > v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node with a link; edges are u > v."""
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            both = pairs
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-                least.select("u", F.col("m").alias("v")))
-        return out.where("u > v").distinct()
-
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
