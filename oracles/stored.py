@@ -60,7 +60,12 @@ WHERE match_id IN (SELECT arg_min(match_id, 'official:' || season || ':' || matc
             *[f"SELECT '{n}', count(*) FROM {cte} JOIN (SELECT match_id FROM good) USING (match_id)" for n, cte in _COUNTS.items()],
             f"SELECT 'completed_contests', count(*) FILTER (WHERE is_completed AND ({_NR} OR is_tie OR match_id % 17 = 4 OR winner IS NOT NULL)) FROM good",
             "SELECT 'run 0 inserted', count(*) FROM good", "SELECT 'run 1 inserted', 0",
+            "SELECT 'run 0 updated', 0", "SELECT 'run 1 updated', count(*) FROM good",
+            *[f"SELECT 'run {k} events', count(*) FROM {_COUNTS['events']} JOIN (SELECT match_id FROM good) USING (match_id)" for k in (0, 1)],
+            *[f"SELECT 'run {k} seen', count(*) FROM con" for k in (0, 1)],
             "SELECT 'second load updated', count(*) FROM good",
+            "SELECT 'second load rejected', (SELECT count(*) FROM con) - (SELECT count(*) FROM good)",
+            *[f"SELECT 'second load {n}_inserted', count(*) FROM {cte} JOIN (SELECT match_id FROM good) USING (match_id)" for n, cte in _COUNTS.items()],
         ]
     ),
     "k9_export_slim": """

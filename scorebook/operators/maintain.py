@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorebook import schemas
@@ -42,6 +42,37 @@ def upsert_contests(
     return table, counts
 
 
+def mark_changes(
+    target: DataFrame, incoming: DataFrame, mark: str, key: str = "match_key"
+) -> tuple[DataFrame, DataFrame]:
+    """Both frames with a column ``mark``: null for stored rows, inserted or updated for delivered ones."""
+    stored = target.select(key, F.lit(True).alias("__stored"))
+    change = F.when(F.col("__stored"), F.lit("updated")).otherwise(F.lit("inserted"))
+    marked = incoming.join(stored, key, "left").withColumn(mark, change).drop("__stored")
+    return target.withColumn(mark, F.lit(None).cast("string")), marked
+
+
+class Tally:
+    """Counts taken in passing by the jobs that write frames, so that counting reads nothing again.
+
+    A counted frame has to be the end of what one job computes: there a task that runs
+    again after a lost executor is counted once.
+    """
+
+    def __init__(self) -> None:
+        self._observed: dict[str, Observation] = {}
+
+    def on(self, name: str, frame: DataFrame, **conditions: Column) -> DataFrame:
+        """The frame; its next job counts all rows and those that meet each condition."""
+        self._observed[name] = Observation()
+        counts = [count_where(c).alias(k) for k, c in conditions.items()]
+        return frame.observe(self._observed[name], F.count(F.lit(1)).alias("rows"), *counts)
+
+    def count(self, name: str, key: str = "rows") -> int:
+        """A count of a frame after its job; zero for a frame that was not counted."""
+        return int(self._observed[name].get.get(key) or 0) if name in self._observed else 0
+
+
 def replace_children(
     child: DataFrame, incoming: DataFrame, redelivered: DataFrame, key: str = "match_id"
 ) -> DataFrame:
@@ -137,9 +168,14 @@ def plan_sources(
     )
 
 
+def has_both_sides() -> Column:
+    """Whether a delivered contest names both sides; others hold a place in the schedule."""
+    return F.col("team1").isNotNull() & F.col("team2").isNotNull()
+
+
 def drop_placeholders(contests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contests with both sides, one-row count of the skipped ones)."""
-    known = F.col("team1").isNotNull() & F.col("team2").isNotNull()
+    known = has_both_sides()
     return contests.where(known), contests.agg(count_where(~known).alias("skipped"))
 
 

@@ -290,6 +290,11 @@ def issue_summary(found: DataFrame) -> DataFrame:
     )
 
 
+def is_rejected() -> Column:
+    """Whether a checked contest has an error."""
+    return _errors() > 0
+
+
 def split_rejected(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of checked contests: one with any error is rejected, one without a key too."""
-    return found.where(_errors() == 0).drop("issues"), found.where(_errors() > 0).drop("issues")
+    return found.where(~is_rejected()).drop("issues"), found.where(is_rejected()).drop("issues")

@@ -365,3 +365,29 @@ def test_documents_on_disk(spark, tmp_path):
     assert (roster["player"], roster["source_player_id"]) == ("P One", "id1")
     ball = _one(feeds.document_events(docs, SPEC))
     assert ball["is_four"] and ball["over_no"] == 1 and ball["bowling_team"] == "Alpha"
+
+
+def test_tally_counts_what_a_write_writes(spark, tmp_path):
+    from scorebook.functions.timeline import shared
+    from scorebook.operators.maintain import Tally
+
+    tally = Tally()
+    rows = spark.range(1000).withColumn("part", (F.col("id") % 3).cast("int"))
+    shared(tally.on("kept", rows, even=F.col("id") % 2 == 0, unknown=F.lit(None).cast("int") == 1))
+    assert [tally.count("kept", k) for k in ("rows", "even", "unknown")] == [1000, 500, 0]
+    tally.on("written", rows.hint("rebalance", "part"), low=F.col("id") < 10).drop("id").write.partitionBy("part").parquet(
+        f"{tmp_path}/written")
+    assert (tally.count("written"), tally.count("written", "low")) == (1000, 10)
+    shared(tally.on("empty", rows.where("id < 0"), even=F.col("id") % 2 == 0))
+    assert (tally.count("empty"), tally.count("empty", "even"), tally.count("never")) == (0, 0, 0)
+
+
+def test_mark_changes_tells_stored_contests_from_new_ones(spark):
+    from scorebook.operators.maintain import mark_changes, upsert_contests
+
+    stored = spark.createDataFrame([("a", 1), ("b", 2)], "match_key string, id long")
+    incoming = spark.createDataFrame([("b", 2), ("c", 3), (None, 4)], "match_key string, id long")
+    table, _ = upsert_contests(*mark_changes(stored, incoming, "change"), order=["id"])
+    # A key that is null equals no stored one.
+    assert {(r.match_key, r.change) for r in table.collect()} == {
+        ("a", None), ("b", "updated"), ("c", "inserted"), (None, "inserted")}
