@@ -375,7 +375,7 @@ def test_tally_counts_what_a_write_writes(spark, tmp_path):
     rows = spark.range(1000).withColumn("part", (F.col("id") % 3).cast("int"))
     shared(tally.on("kept", rows, even=F.col("id") % 2 == 0, unknown=F.lit(None).cast("int") == 1))
     assert [tally.count("kept", k) for k in ("rows", "even", "unknown")] == [1000, 500, 0]
-    tally.on("written", rows.hint("rebalance", "part"), low=F.col("id") < 10).drop("id").write.partitionBy("part").parquet(
+    tally.on("written", rows.hint("rebalance", "part"), low=F.col("id") < 10).write.partitionBy("part").parquet(
         f"{tmp_path}/written")
     assert (tally.count("written"), tally.count("written", "low")) == (1000, 10)
     shared(tally.on("empty", rows.where("id < 0"), even=F.col("id") % 2 == 0))
