@@ -49,13 +49,15 @@ def _z1(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    """A stream of all events, a file a batch. Two files hold the earlier years and two the
-    later ones; the balls of an innings are spread over two files in any order. Every second
-    ball is in its file twice, and every third one comes again with the later years."""
+    """A stream of all events, a part a batch. Two parts hold the earlier years and two the
+    later ones; the balls of an innings are spread over two parts in any order. Every second
+    ball is in its part twice, and every third one comes again with the later years. A part
+    has as many files as its rows need, so no task writes or reads a whole one."""
     root = _folder(spark) + "/arrivals"
     balls = shared(td.events(spark, sf_dir).where("match_date IS NOT NULL").withColumn(
         "event_time",
         F.to_timestamp("match_date") + F.make_interval(hours=F.col("innings_no") * 2, secs=F.col("ball_seq") * 30)))
+    files, written = 1 + balls.count() // FILE_ROWS, 0
     hashed = F.xxhash64("match_id", "innings_no", "ball_seq")
     later, half, seq = F.year("match_date") >= SPLIT_YEAR, F.pmod(hashed, F.lit(2)), F.col("ball_seq")
     for part in (~later, later):
@@ -64,11 +66,17 @@ def _arrivals(spark, sf_dir):
             sent = own.unionByName(own.where(seq % 2 == 0))
             if part is later:
                 sent = sent.unionByName(balls.where(~later & (half == k) & (seq % 3 == 0)))
-            # One file, written after the one before it.
-            sent.repartition(1).sortWithinPartitions(F.xxhash64(hashed)).write.mode("append").parquet(root)
-    return spark.readStream.schema(balls.schema).option("maxFilesPerTrigger", 1).parquet(root)
+            # The files of a part, written after those of the part before it.
+            sent.repartition(files).sortWithinPartitions(F.xxhash64(hashed)).write.mode("append").parquet(root)
+            written += files
+            for _ in range(written - len(spark.read.schema(balls.schema).parquet(root).inputFiles())):
+                # Tasks without rows leave no file; empty ones keep a part a batch.
+                spark.createDataFrame([], balls.schema).write.mode("append").parquet(root)
+    return spark.readStream.schema(balls.schema).option("maxFilesPerTrigger", files).parquet(root)
 
 
+#: Balls of all parts for each file of one.
+FILE_ROWS = 1_000_000
 #: First year of the later files, and more than the days that a file of either half covers.
 SPLIT_YEAR, LATE = 1995, "1500 days"
 

@@ -114,3 +114,14 @@ def test_published_folders_stay_few(spark):
 def test_nothing_published(spark):
     with pytest.raises(ValueError):
         live.latest(spark, folder(spark))
+
+
+def test_a_part_of_the_arrivals_has_files_by_its_rows(spark, sf_dir, monkeypatch):
+    from oracles import stream_queries
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 2000)
+    monkeypatch.setattr(stream_queries, "_folder", lambda _, root=folder(spark): root)
+    few = {(r.match_id, r.innings_no): tuple(r) for r in live.scoreboard(stream_queries.td.events(spark, sf_dir).where("match_date IS NOT NULL")).collect()}
+    found = {(r.match_id, r.innings_no): tuple(r) for r in stream_queries._z2(spark, sf_dir).collect()}
+    files = spark.read.parquet(stream_queries._folder(spark) + "/arrivals").inputFiles()
+    assert len(files) > 8 and found == few
