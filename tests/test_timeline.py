@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from scorebook.functions import timeline
 from scorebook.functions.timeline import Running, in_order, rolling_before, running
 
 
@@ -82,3 +83,17 @@ def test_split_group_equals_one_window(spark):
     assert sorted(map(tuple, one.collect())) == sorted(
         map(tuple, split.select(*one.columns).collect())
     )
+
+
+def test_shared_rows_are_read_by_column_from_parquet(spark):
+    rows = spark.range(100).selectExpr("id", "id % 7 as part", "cast(null as string) as name", "array(id, id % 7) as ids")
+    kept = timeline.shared(rows)
+    assert len(kept.inputFiles()) > 0 and kept.dtypes == rows.dtypes
+    assert sorted(kept.select("id", "part", "ids").collect()) == sorted(rows.select("id", "part", "ids").collect())
+    assert timeline.shared(rows.where("id < 0")).count() == 0
+
+
+def test_shared_keeps_what_parquet_cannot_store(spark):
+    odd = spark.range(3).selectExpr("id", "id + 1 as ID", "null as nothing")
+    kept = timeline.shared(odd)
+    assert kept.columns == odd.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in odd.collect()]
