@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -27,6 +28,7 @@ from scorebook.functions.timeline import shared
 from scorebook.operators import history, inplay
 from scorebook.operators.standings import remaining_fixtures
 from scorebook.plans import evaluate
+from scorebook.session import ensure_checkpoint_dir
 
 MIN_TRAINING_ROWS = 60
 LINEAR, FOREST, BOOSTED = "linear", "random_forest", "gradient_boosting"
@@ -185,6 +187,22 @@ def score(model: PipelineModel, rows: DataFrame, classification: bool = True) ->
     return out.select(*rows.columns, "prediction")
 
 
+def without_summary(fitted: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The same model, read back from the checkpoint folder where its last stage has a
+    training summary.
+
+    A summary holds the session it was made in, and a model that scores is sent to the
+    tasks whole. A session in which anything was ever observed (the counts of a load)
+    cannot be sent, so its classifiers would fit but never score.
+    """
+    *before, last = fitted.stages
+    if not getattr(last, "hasSummary", False):
+        return fitted
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    last.write().save(path)
+    return PipelineModel([*before, type(last).load(path)])
+
+
 def train(
     task: Task,
     train_rows: DataFrame,
@@ -226,8 +244,9 @@ def train(
     for name, estimator in estimators(task, effort, known["__n"], weighted).items():
         stages = preprocessing(numeric, task.categorical, scale=name == LINEAR)
         started = time.monotonic()
-        models[name] = Pipeline(stages=[*stages, estimator]).fit(fit_rows)
+        fitted = Pipeline(stages=[*stages, estimator]).fit(fit_rows)
         seconds[name] = round(time.monotonic() - started, 2)
+        models[name] = without_summary(fitted, fit_rows.sparkSession)
         value = "probability" if task.classification else "prediction"
         rows = score(models[name], held_out, task.classification).select(
             F.lit(name).alias("model"),

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from scorebook.plans import evaluate, learn
@@ -46,6 +47,16 @@ def test_award_model_trains_scores_and_persists(spark, awards, tmp_path):
     assert learn.feature_importance(again, spark).agg(F.sum("importance")).first()[0] <= 1.0 + 1e-9
 
 
+def test_classifiers_score_after_an_observation(spark, awards):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("rows")).collect()
+    assert seen.get == {"rows": 3}
+    trained = learn.award_task(awards, 2022, SMALL)
+    assert trained.scored.count() == 120
+    importance = learn.feature_importance(trained.models[learn.FOREST], spark)
+    assert abs(importance.agg(F.sum("importance")).first()[0] - 1) < 1e-9
+
+
 def test_too_few_rows_train_nothing(awards):
     assert learn.award_task(awards.limit(10), 2022, SMALL).best is None
 
