@@ -391,3 +391,27 @@ def test_mark_changes_tells_stored_contests_from_new_ones(spark):
     # A key that is null equals no stored one.
     assert {(r.match_key, r.change) for r in table.collect()} == {
         ("a", None), ("b", "updated"), ("c", "inserted"), (None, "inserted")}
+
+
+def test_dedupe_by_all_other_columns(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 2, None), (1, "a", 1, "y"), (1, "a", 1, "x"), (1, "b", None, "z"), (1, "b", 0, "z"), (None, "a", 5, "q")] * 2,
+        "match_id long, player string, at int, note string",
+    )
+    kept = quality.dedupe(rows, ["match_id", "player"], ["at", "note"])
+    assert kept.columns == rows.columns
+    assert {tuple(r) for r in kept.collect()} == {(1, "a", 1, "x"), (1, "b", None, "z"), (None, "a", 5, "q")}
+    assert kept.count() == 3
+    assert "min_by" not in kept._jdf.queryExecution().toString()
+
+
+def test_documents_are_made_once(spark):
+    from scorebook import schemas
+    from scorebook.functions.text import Spec
+    from scorebook.plans import load
+    from scorebook.sources import feeds
+
+    docs = spark.createDataFrame([], "source_match_id string, doc struct<" + schemas.DOCUMENT.replace("\n", " ") + ">")
+    delivery = load.deliver_documents(feeds.typed_documents(docs.select("source_match_id", "doc.*")), Spec())
+    for frame in (delivery.contests, delivery.children["events"], delivery.children["rosters"]):
+        assert [f for f in frame.inputFiles() if "/shared-" in f]
