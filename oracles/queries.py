@@ -557,7 +557,9 @@ def _q15_children(spark, sf_dir):
     }
     out = None
     for name, keys in schemas.CHILD_KEYS.items():
-        first = children[name].withColumn("ingest", F.lit(0))
+        # The counts before and after read the rows and their copies.
+        made = children[name] if children[name] is stream else history.shared(children[name])
+        first = made.withColumn("ingest", F.lit(0))
         both = first.unionByName(first.where(_id(3) == 0).withColumn("ingest", F.lit(1)))
         before = both.agg(F.count("*").alias("rows_before"))
         after = quality.dedupe(both, keys, ["ingest"]).agg(

@@ -415,3 +415,11 @@ def test_documents_are_made_once(spark):
     delivery = load.deliver_documents(feeds.typed_documents(docs.select("source_match_id", "doc.*")), Spec())
     for frame in (delivery.contests, delivery.children["events"], delivery.children["rosters"]):
         assert [f for f in frame.inputFiles() if "/shared-" in f]
+
+
+def test_children_with_copies_are_made_once(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    table = entry.queries()["q15_dedupe_children"](spark, sf_dir)
+    folders = {part for f in table.inputFiles() for part in f.split("/") if part.startswith("shared-")}
+    assert len(folders) == 7
