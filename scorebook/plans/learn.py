@@ -278,7 +278,9 @@ def train(
 
 def task_split(task: Task, rows: DataFrame, test_from: int) -> tuple[DataFrame, DataFrame]:
     """What a task is trained and tested on. The winner task learns from both
-    orientations of every contest and is tested on the given one."""
+    orientations of every contest and is tested on the given one. Both parts and the
+    two ends of the seasons read the rows, so they are made once."""
+    rows = shared(rows)
     if task == WINNER:
         fit, held_out = split_by_season(rows.where("is_completed"), test_from)
         return fit.unionByName(history.mirror(fit).drop("is_mirrored")), held_out

@@ -57,6 +57,11 @@ def test_classifiers_score_after_an_observation(spark, awards):
     assert abs(importance.agg(F.sum("importance")).first()[0] - 1) < 1e-9
 
 
+def test_parts_read_rows_made_once(awards):
+    for part in learn.task_split(learn.AWARD, awards.where("match_id >= 0"), 2022):
+        assert [f for f in part.inputFiles() if "/shared-" in f]
+
+
 def test_too_few_rows_train_nothing(awards):
     assert learn.award_task(awards.limit(10), 2022, SMALL).best is None
 
