@@ -263,7 +263,10 @@ def train(
         took = F.when(F.col("model") == name, F.lit(value)).otherwise(took)
     metrics = shared(
         metrics.select(
-            F.lit(task.name).alias("task"), "*", took.alias("train_seconds"),
+            F.lit(task.name).alias("task"),
+            # Digits beyond these depend on the order in which tasks add their rows.
+            *[F.round(c, 12).alias(c) if kind == "double" else F.col(c) for c, kind in metrics.dtypes],
+            took.alias("train_seconds"),
             F.lit(known["__n"]).alias("train_rows"),
         )
     )
@@ -278,9 +281,11 @@ def train(
 
 def task_split(task: Task, rows: DataFrame, test_from: int) -> tuple[DataFrame, DataFrame]:
     """What a task is trained and tested on. The winner task learns from both
-    orientations of every contest and is tested on the given one. Both parts and the
-    two ends of the seasons read the rows, so they are made once."""
-    rows = shared(rows)
+    orientations of every contest and is tested on the given one. Chases and awards come
+    from every ball, and both parts and the two ends of the seasons read them, so they
+    are made once."""
+    if task in (CHASE, AWARD):
+        rows = shared(rows)
     if task == WINNER:
         fit, held_out = split_by_season(rows.where("is_completed"), test_from)
         return fit.unionByName(history.mirror(fit).drop("is_mirrored")), held_out
