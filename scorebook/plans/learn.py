@@ -78,19 +78,20 @@ TASKS = {task.name: task for task in (WINNER, SCORE, CHASE, AWARD)}
 
 @dataclass
 class Trained:
-    """A task's fitted candidates and their held-out metrics."""
+    """A task's fitted candidates and their held-out metrics; too few rows train no
+    candidate, so ``best`` and ``model`` are None and the metrics have no row."""
 
     task: Task
     best: str | None
     models: dict[str, PipelineModel]
-    metrics: DataFrame | None
+    metrics: DataFrame
     scored: DataFrame | None
     residual_std: float | None = None
     extra: dict[str, float] = field(default_factory=dict)
 
     @property
-    def model(self) -> PipelineModel:
-        return self.models[self.best]
+    def model(self) -> PipelineModel | None:
+        return self.models.get(self.best)
 
 
 def clean_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -203,6 +204,24 @@ def without_summary(fitted: PipelineModel, spark: SparkSession) -> PipelineModel
     return PipelineModel([*before, type(last).load(path)])
 
 
+def held_out_metrics(task: Task, scored: DataFrame, seconds: dict[str, float], train_rows: int) -> DataFrame:
+    """One row per candidate of the scored rows."""
+    compute = evaluate.classification_metrics if task.classification else evaluate.regression_metrics
+    metrics = compute(scored, ["model"])
+    took = F.lit(None).cast("double")
+    for name, value in seconds.items():
+        took = F.when(F.col("model") == name, F.lit(value)).otherwise(took)
+    return shared(
+        metrics.select(
+            F.lit(task.name).alias("task"),
+            # Digits beyond these depend on the order in which tasks add their rows.
+            *[F.round(c, 12).alias(c) if kind == "double" else F.col(c) for c, kind in metrics.dtypes],
+            took.alias("train_seconds"),
+            F.lit(train_rows).alias("train_rows"),
+        )
+    )
+
+
 def train(
     task: Task,
     train_rows: DataFrame,
@@ -229,8 +248,12 @@ def train(
         F.count("*").alias("__n"), F.sum("label").alias("__positive"),
         *[F.count(c).alias(c) for c in task.numeric],
     ).first()
+    value = "probability" if task.classification else "prediction"
     if known["__n"] < min_rows:
-        return Trained(task, None, {}, None, None)
+        nothing = fit_rows.where(F.lit(False)).select(
+            F.lit(None).cast("string").alias("model"), "label", F.lit(None).cast("double").alias(value)
+        )
+        return Trained(task, None, {}, held_out_metrics(task, nothing, {}, known["__n"]), None)
     numeric = [c for c in task.numeric if known[c] > 0]
     weighted = task.classification and task.contest_rank
     if weighted:
@@ -247,29 +270,13 @@ def train(
         fitted = Pipeline(stages=[*stages, estimator]).fit(fit_rows)
         seconds[name] = round(time.monotonic() - started, 2)
         models[name] = without_summary(fitted, fit_rows.sparkSession)
-        value = "probability" if task.classification else "prediction"
         rows = score(models[name], held_out, task.classification).select(
             F.lit(name).alias("model"),
             *[c for c in ("match_id", "player") if c in columns], "label", value,
         )
         scored = rows if scored is None else scored.unionByName(rows)
     scored = shared(scored)
-    if task.classification:
-        metrics = evaluate.classification_metrics(scored, ["model"])
-    else:
-        metrics = evaluate.regression_metrics(scored, ["model"])
-    took = F.lit(None).cast("double")
-    for name, value in seconds.items():
-        took = F.when(F.col("model") == name, F.lit(value)).otherwise(took)
-    metrics = shared(
-        metrics.select(
-            F.lit(task.name).alias("task"),
-            # Digits beyond these depend on the order in which tasks add their rows.
-            *[F.round(c, 12).alias(c) if kind == "double" else F.col(c) for c, kind in metrics.dtypes],
-            took.alias("train_seconds"),
-            F.lit(known["__n"]).alias("train_rows"),
-        )
-    )
+    metrics = held_out_metrics(task, scored, seconds, known["__n"])
     best = evaluate.pick_best(metrics, task.metric).first()["best_model"]
     result = Trained(task, best, models, metrics, scored.where(F.col("model") == best))
     if not task.classification:
@@ -357,8 +364,6 @@ def training_summary(trained: dict[str, Trained]) -> DataFrame:
     """Every candidate of every task with the winner marked."""
     out = None
     for result in trained.values():
-        if result.metrics is None:
-            continue
         table = evaluate.comparison_table(result.metrics, result.task.metric, FAMILIES)
         out = table if out is None else out.unionByName(table, allowMissingColumns=True)
     return out

@@ -57,6 +57,24 @@ def test_classifiers_score_after_an_observation(spark, awards):
     assert abs(importance.agg(F.sum("importance")).first()[0] - 1) < 1e-9
 
 
+def test_tasks_with_names_score_at_once_after_an_observation(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("rows")).collect()
+    assert seen.get == {"rows": 3}
+    made = {}
+    for task in (learn.WINNER, learn.CHASE):
+        rows = spark.range(150).select(
+            F.col("id").alias("match_id"), (2020 + F.col("id") % 3).cast("int").alias("season"),
+            (F.xxhash64("id") % 2 == 0).cast("int").alias(task.label),
+            *[(F.col("id") * (i + 7) % 31).cast("double").alias(c) for i, c in enumerate(task.numeric) if c != "season"],
+            *[F.concat(F.lit("name"), F.col("id") % (i + 2)).alias(c) for i, c in enumerate(task.categorical)],
+        )
+        made[task.name] = learn.train(task, *learn.split_by_season(rows, 2022), SMALL)
+        assert made[task.name].scored.count() == 50
+    one = learn.score_winners(made["winner"].model, rows.withColumns({"team1": F.lit("A"), "team2": F.lit("B")}))
+    assert {r.predicted_winner for r in one.collect()} <= {"A", "B"}
+
+
 def test_parts_read_rows_made_once(awards):
     for part in learn.task_split(learn.AWARD, awards.where("match_id >= 0"), 2022):
         assert [f for f in part.inputFiles() if "/shared-" in f]
@@ -66,6 +84,17 @@ def test_too_few_rows_train_nothing(awards):
     assert learn.award_task(awards.limit(10), 2022, SMALL).best is None
 
 
+def test_no_model_gives_metrics_without_rows(spark, awards):
+    full, few = (learn.award_task(rows, 2022, learn.Effort(candidates=(learn.LINEAR,))) for rows in (awards, awards.limit(10)))
+    assert few.model is None and few.metrics.dtypes == full.metrics.dtypes and few.metrics.count() == 0
+    totals = spark.range(5).selectExpr("id match_id", "2020 season", "cast(id as double) target_first_innings_runs")
+    scores = learn.train(learn.SCORE, totals, totals, SMALL)
+    assert scores.model is None and "rmse" in scores.metrics.columns and scores.metrics.count() == 0
+    summary = learn.training_summary({"award": full, "first_innings_score": scores})
+    assert [(r.task, r.model, r.is_best) for r in summary.collect()] == [("award", learn.LINEAR, True)]
+    assert learn.training_summary({"award": few}).select("task", "family", "is_best", "support").count() == 0
+
+
 def test_calibration_counts_every_row(spark):
     rows = spark.range(100).selectExpr("id % 2 as label", "id / 99.0d as probability")
     table = evaluate.calibration_table(rows)
