@@ -400,15 +400,19 @@ def feature_importance(model: PipelineModel, spark: SparkSession, top: int = 25)
 # Batch scoring ---------------------------------------------------------------
 
 
-def score_winners(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Probability, pick and confidence per feature row."""
-    rows = score(model, clean_features(features, WINNER.numeric, WINNER.categorical))
+def score_winners(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    """Probability, pick and confidence per feature row; null where no model is given."""
+    rows = clean_features(features, WINNER.numeric, WINNER.categorical)
+    if model is None:
+        rows = rows.withColumn("probability", F.lit(None).cast("double"))
+    else:
+        rows = score(model, rows)
     p = F.col("probability")
     return rows.withColumns(
         {
             "team1_win_probability": p,
             "team2_win_probability": 1 - p,
-            "predicted_winner": F.when(p >= 0.5, F.col("team1")).otherwise(F.col("team2")),
+            "predicted_winner": F.when(p >= 0.5, F.col("team1")).when(p < 0.5, F.col("team2")),
             "confidence": F.abs(p - 0.5) * 2,
         }
     ).drop("probability")

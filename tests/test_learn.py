@@ -95,6 +95,13 @@ def test_no_model_gives_metrics_without_rows(spark, awards):
     assert learn.training_summary({"award": few}).select("task", "family", "is_best", "support").count() == 0
 
 
+def test_no_model_picks_no_winner(spark):
+    rows = spark.createDataFrame([(1, "A", "B")], "request_id long, team1 string, team2 string")
+    row = learn.score_winners(None, rows).first()
+    assert (row.request_id, row.team1) == (1, "A")
+    assert row.predicted_winner is row.team1_win_probability is row.team2_win_probability is row.confidence is None
+
+
 def test_calibration_counts_every_row(spark):
     rows = spark.range(100).selectExpr("id % 2 as label", "id / 99.0d as probability")
     table = evaluate.calibration_table(rows)
