@@ -79,7 +79,8 @@ TASKS = {task.name: task for task in (WINNER, SCORE, CHASE, AWARD)}
 @dataclass
 class Trained:
     """A task's fitted candidates and their held-out metrics; too few rows train no
-    candidate, so ``best`` and ``model`` are None and the metrics have no row."""
+    candidate and none held out choose none, so ``best`` and ``model`` are None and the
+    metrics have no row."""
 
     task: Task
     best: str | None
@@ -183,7 +184,9 @@ def score(model: PipelineModel, rows: DataFrame, classification: bool = True) ->
     """Rows with ``probability`` (or ``prediction``) and without helper columns."""
     out = model.transform(rows)
     if classification:
-        out = out.withColumn("__p", vector_to_array("probability")[1])
+        # A forest that only saw class 0 has no place for class 1.
+        positive = F.coalesce(F.get(vector_to_array("probability"), 1), F.lit(0.0))
+        out = out.withColumn("__p", positive)
         return out.select(*rows.columns, F.col("__p").alias("probability"))
     return out.select(*rows.columns, "prediction")
 
@@ -369,9 +372,11 @@ def training_summary(trained: dict[str, Trained]) -> DataFrame:
     return out
 
 
-def feature_importance(model: PipelineModel, spark: SparkSession, top: int = 25) -> DataFrame:
-    """Importance (or absolute coefficient) per feature, scaled to one. Names come
-    from the model, so this is as small as the model."""
+def feature_importance(model: PipelineModel | None, spark: SparkSession, top: int = 25) -> DataFrame:
+    """Importance (or absolute coefficient) per feature, scaled to one; no row where no
+    model is given. Names come from the model, so this is as small as the model."""
+    if model is None:
+        return spark.createDataFrame([], "feature string, importance double")
     assembler, fitted = model.stages[-2], model.stages[-1]
     if hasattr(fitted, "featureImportances"):
         values = [float(v) for v in fitted.featureImportances.toArray()]

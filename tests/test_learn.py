@@ -102,6 +102,22 @@ def test_no_model_picks_no_winner(spark):
     assert row.predicted_winner is row.team1_win_probability is row.team2_win_probability is row.confidence is None
 
 
+def test_no_model_has_no_importance(spark, awards):
+    few = learn.award_task(awards.limit(10), 2022, SMALL)
+    none_held_out = learn.award_task(awards.where("season = 2020"), 2022, learn.Effort(candidates=(learn.LINEAR,)))
+    assert none_held_out.best is None and none_held_out.metrics.count() == 0
+    for trained in (few, none_held_out):
+        table = learn.feature_importance(trained.model, spark)
+        assert table.dtypes == [("feature", "string"), ("importance", "double")] and table.count() == 0
+
+
+def test_a_forest_without_positives_scores_zero(spark, awards):
+    forest = learn.Effort(trees=3, classifier_depth=2, candidates=(learn.FOREST,))
+    trained = learn.award_task(awards.withColumn("target_is_award", F.lit(0)), 2022, forest)
+    assert trained.best == learn.FOREST and trained.scored.where("probability = 0").count() == 120
+    assert learn.feature_importance(trained.model, spark).agg(F.sum("importance")).first()[0] == 0
+
+
 def test_calibration_counts_every_row(spark):
     rows = spark.range(100).selectExpr("id % 2 as label", "id / 99.0d as probability")
     table = evaluate.calibration_table(rows)
