@@ -180,8 +180,12 @@ def estimators(task: Task, effort: Effort, rows: int, weighted: bool = False) ->
     return {name: models[name] for name in effort.candidates}
 
 
-def score(model: PipelineModel, rows: DataFrame, classification: bool = True) -> DataFrame:
-    """Rows with ``probability`` (or ``prediction``) and without helper columns."""
+def score(model: PipelineModel | None, rows: DataFrame, classification: bool = True) -> DataFrame:
+    """Rows with ``probability`` (or ``prediction``) and without helper columns; null
+    where no model is given."""
+    if model is None:
+        value = "probability" if classification else "prediction"
+        return rows.withColumn(value, F.lit(None).cast("double"))
     out = model.transform(rows)
     if classification:
         # A forest that only saw class 0 has no place for class 1.
@@ -283,7 +287,8 @@ def train(
     best = evaluate.pick_best(metrics, task.metric).first()["best_model"]
     result = Trained(task, best, models, metrics, scored.where(F.col("model") == best))
     if not task.classification:
-        result.residual_std = metrics.where(F.col("model") == best).first()["residual_std"]
+        chosen = metrics.where(F.col("model") == best).first()
+        result.residual_std = chosen["residual_std"] if chosen else None
     if task.contest_rank:
         result.extra = evaluate.top1_accuracy(result.scored).first().asDict()
     return result
@@ -407,11 +412,7 @@ def feature_importance(model: PipelineModel | None, spark: SparkSession, top: in
 
 def score_winners(model: PipelineModel | None, features: DataFrame) -> DataFrame:
     """Probability, pick and confidence per feature row; null where no model is given."""
-    rows = clean_features(features, WINNER.numeric, WINNER.categorical)
-    if model is None:
-        rows = rows.withColumn("probability", F.lit(None).cast("double"))
-    else:
-        rows = score(model, rows)
+    rows = score(model, clean_features(features, WINNER.numeric, WINNER.categorical))
     p = F.col("probability")
     return rows.withColumns(
         {
@@ -447,19 +448,26 @@ def fixture_probabilities(
     )
 
 
-def score_totals(model: PipelineModel, rows: DataFrame, residual_std: float) -> DataFrame:
-    """Expected total with a one-sigma range that does not go below zero."""
+def score_totals(
+    model: PipelineModel | None, rows: DataFrame, residual_std: float | None
+) -> DataFrame:
+    """Expected total with a one-sigma range that does not go below zero; null where no
+    model is given."""
     out = score(model, clean_features(rows, SCORE.numeric, SCORE.categorical), False)
+    spread = F.lit(residual_std).cast("double")
+    low = F.col("prediction") - spread
     return out.withColumns(
         {
-            "low": F.greatest(F.col("prediction") - residual_std, F.lit(0.0)),
-            "high": F.col("prediction") + residual_std,
+            # greatest() passes over a null.
+            "low": F.when(low.isNotNull(), F.greatest(low, F.lit(0.0))),
+            "high": F.col("prediction") + spread,
         }
     )
 
 
-def score_chases(model: PipelineModel, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scored live states, rejected requests with the reason)."""
+def score_chases(model: PipelineModel | None, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scored live states, rejected requests with the reason). Without a model only
+    finished chases have a probability."""
     problem = (
         F.when(F.col("target").isNull() | (F.col("target") <= 0), F.lit("target must be positive"))
         .when(F.col("current_runs").isNull() | (F.col("current_runs") < 0),

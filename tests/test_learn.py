@@ -102,6 +102,25 @@ def test_no_model_picks_no_winner(spark):
     assert row.predicted_winner is row.team1_win_probability is row.team2_win_probability is row.confidence is None
 
 
+def test_no_model_leaves_live_chases_open(spark):
+    rows = spark.createDataFrame(
+        [(1, 150, 40, 2, 30), (2, 150, 150, 2, 100), (3, 150, 90, 10, 80), (4, 0, 1, 1, 1)],
+        "match_id long, target int, current_runs int, wickets_fallen int, balls_bowled int",
+    ).withColumns({c: F.lit("A") for c in learn.CHASE.categorical})
+    scored, rejected = learn.score_chases(None, rows)
+    assert {r.match_id: r.probability for r in scored.collect()} == {1: None, 2: 1.0, 3: 0.0}
+    assert scored.where("match_id = 1").first().required_run_rate == 7.333
+    assert [r.match_id for r in rejected.collect()] == [4]
+
+
+def test_no_model_expects_no_total(spark):
+    totals = spark.range(150).selectExpr("id match_id", "2020 season", "cast(id as double) target_first_innings_runs")
+    trained = learn.train(learn.SCORE, totals, totals.limit(0), learn.Effort(candidates=(learn.LINEAR,)))
+    assert trained.model is None and trained.residual_std is None
+    row = learn.score_totals(trained.model, totals, trained.residual_std).first()
+    assert row.match_id is not None and row.prediction is row.low is row.high is None
+
+
 def test_no_model_has_no_importance(spark, awards):
     few = learn.award_task(awards.limit(10), 2022, SMALL)
     none_held_out = learn.award_task(awards.where("season = 2020"), 2022, learn.Effort(candidates=(learn.LINEAR,)))
