@@ -483,8 +483,12 @@ def score_chases(model: PipelineModel | None, requests: DataFrame) -> tuple[Data
     return inplay.terminal_overrides(scored), judged.where(F.col("error").isNotNull())
 
 
-def rank_awards(model: PipelineModel, awards: DataFrame, top: int = 5) -> DataFrame:
+def rank_awards(model: PipelineModel | None, awards: DataFrame, top: int = 5) -> DataFrame:
+    """Best ``top`` rows of each contest by their share of the award. Without a model
+    there is nothing to rank by, so no row is ranked."""
     scored = score(model, clean_features(awards, AWARD.numeric, ()))
+    if model is None:
+        scored = scored.where(F.lit(False))
     return evaluate.in_contest_share(scored, top)
 
 

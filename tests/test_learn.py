@@ -121,6 +121,12 @@ def test_no_model_expects_no_total(spark):
     assert row.match_id is not None and row.prediction is row.low is row.high is None
 
 
+def test_no_model_ranks_nobody(awards):
+    ranked = learn.rank_awards(learn.award_task(awards.limit(10), 2022, SMALL).model, awards)
+    assert dict(ranked.dtypes)["award_probability"] == "double" and dict(ranked.dtypes)["rank"] == "int"
+    assert ranked.count() == 0
+
+
 def test_no_model_has_no_importance(spark, awards):
     few = learn.award_task(awards.limit(10), 2022, SMALL)
     none_held_out = learn.award_task(awards.where("season = 2020"), 2022, learn.Effort(candidates=(learn.LINEAR,)))
