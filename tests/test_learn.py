@@ -216,3 +216,41 @@ def test_tasks_train_at_once_and_alike(spark, awards, monkeypatch):
     assert one == two and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
     summary = learn.training_summary(trained).collect()
     assert [r.is_best for r in summary] == [True, True] and all(r.train_rows == 240 for r in summary)
+
+
+@pytest.fixture()
+def chase_rows(spark, events, contests, monkeypatch):
+    """The chase query's tables are the small ones; rows that a task would train on are kept, not fitted."""
+    from oracles import model_queries, queries
+
+    monkeypatch.setattr(queries.td, "events", lambda *_: events)
+    monkeypatch.setattr(queries.td, "contests", lambda *_, **__: contests)
+    kept = {}
+
+    def keep(rows):
+        kept["chase"] = rows
+        return learn.Trained(learn.CHASE, None, {}, rows, None)
+
+    monkeypatch.setattr(model_queries.learn, "chase_task", lambda rows, *_: keep(rows))
+    monkeypatch.setattr(model_queries.learn, "train_all", lambda _, rows, *__: keep(rows))
+    monkeypatch.setattr(model_queries.learn, "training_summary", lambda _: spark.createDataFrame(
+        [], "task string, model string, family string, is_best boolean, train_rows long, support long"))
+    monkeypatch.setattr(model_queries, "full_features", lambda *_: spark.range(1))
+    monkeypatch.setattr(model_queries, "awards", lambda *_: spark.range(1))
+    return kept
+
+
+def _every_open_ball(events, contests):
+    from scorebook.operators import inplay
+
+    found = {(r.match_id, r.ball_seq) for r in inplay.chase_features(events, contests).collect()}
+    assert {seq % 3 for _, seq in found} == {0, 1, 2}
+    return found
+
+
+def test_the_chase_task_learns_from_every_ball(spark, events, contests, chase_rows):
+    from oracles import model_queries
+
+    model_queries._m9(spark, "")
+    found = [(r.match_id, r.ball_seq) for r in chase_rows["chase"].select("match_id", "ball_seq").collect()]
+    assert len(found) == len(set(found)) and set(found) == _every_open_ball(events, contests)
