@@ -156,7 +156,7 @@ def _m6(spark, sf_dir):
 @register("m22_training_summary")
 def _m22(spark, sf_dir):
     features = history.shared(full_features(spark, sf_dir))
-    trained = learn.train_all(features, chases(spark, sf_dir, 3), awards(spark, sf_dir), TEST_FROM, QUICK)
+    trained = learn.train_all(features, chases(spark, sf_dir), awards(spark, sf_dir), TEST_FROM, QUICK)
     return learn.training_summary(trained).select(
         "task", "model", "family", "is_best", "train_rows", "support"
     )

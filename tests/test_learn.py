@@ -254,3 +254,11 @@ def test_the_chase_task_learns_from_every_ball(spark, events, contests, chase_ro
     model_queries._m9(spark, "")
     found = [(r.match_id, r.ball_seq) for r in chase_rows["chase"].select("match_id", "ball_seq").collect()]
     assert len(found) == len(set(found)) and set(found) == _every_open_ball(events, contests)
+
+
+def test_the_summary_of_all_tasks_learns_chases_from_every_ball(spark, events, contests, chase_rows):
+    from oracles import model_queries
+
+    model_queries._m22(spark, "")
+    found = [(r.match_id, r.ball_seq) for r in chase_rows["chase"].select("match_id", "ball_seq").collect()]
+    assert len(found) == len(set(found)) and set(found) == _every_open_ball(events, contests)
