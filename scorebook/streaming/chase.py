@@ -6,6 +6,9 @@ by the rules of the contest, so the state is too. Keeping the entries rather tha
 makes the result independent of the order of arrival: a late ball moves the target or the
 totals behind it, and a ball that comes again changes nothing.
 
+Between the engine and the processor a ball, the kept balls and a state are one JSON text
+each: decoding them value by value costs more than everything that is done with them.
+
 A contest that has been silent for ``idle`` is closed by a timer: its last state is emitted
 as ended, its balls are forgotten, and a mark that expires on its own keeps stragglers from
 opening it again.
@@ -13,8 +16,10 @@ opening it again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import timedelta
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -24,20 +29,23 @@ from scorebook import constants as k
 from scorebook.operators.inplay import CHASE_CATEGORICAL, CHASE_NUMERIC, RECENT_BALLS, decided, state_columns
 from scorebook.session import ship_package
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 BALL = [
     "match_id", "innings_no", "ball_seq", "over_no", "batting_team", "bowling_team", "total_runs",
     "is_legal", "is_wicket",
 ]
-STATE = (
-    "first_seen array<int>, first_runs long, seq array<int>, over array<int>, runs array<int>, "
-    "legal array<int>, wicket array<int>, batting_team string, bowling_team string"
-)
+#: The balls are lists of seq, over, runs, legal, wicket, in JSON as the seqs of the first innings are.
+STATE = "first_seen string, first_runs long, balls string, batting_team string, bowling_team string"
 OUTPUT = (
     "match_id long, ball_seq int, over_no int, batting_team string, bowling_team string, target long, "
     "current_runs long, wickets_fallen long, balls_bowled long, runs_last_5_overs long, "
     "wickets_last_5_overs long, is_ended boolean"
 )
 NAMES = [column.split()[0] for column in OUTPUT.split(", ")]
+#: A state as the processor returns it, and a ball as it gets it: JSON of OUTPUT and of BALL.
+RETURNED, BALL_TEXT, HEARD = "match_id long, state string", "ball", "heard_ms"
 #: State store that arbitrary state needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,11 +54,12 @@ class Innings:
     """Both innings of one contest as the state keeps them."""
 
     def __init__(self, stored: tuple | None) -> None:
-        seen, self.first_runs, *balls, self.batting, self.bowling = stored or ([], 0, [], [], [], [], [], None, None)
-        self.first_seen = set(seen)
-        self.balls = {ball[0]: ball[1:] for ball in zip(*balls)}
+        seen, self.first_runs, balls, self.batting, self.bowling = stored or ("[]", 0, "[]", None, None)
+        self.first_seen = set(json.loads(seen))
+        self.balls = {seq: tuple(ball) for seq, *ball in json.loads(balls)}
+        self._earliest = min(self.balls, default=None)
 
-    def add(self, row: Row) -> bool:
+    def add(self, row: Row | dict) -> bool:
         """Whether the ball is new."""
         seq = row["ball_seq"]
         if row["innings_no"] == 1:
@@ -61,15 +70,14 @@ class Innings:
             return True
         if row["innings_no"] != 2 or seq in self.balls:
             return False
-        if not self.balls or seq < min(self.balls):
-            self.batting, self.bowling = row["batting_team"], row["bowling_team"]
+        if not self.balls or seq < self._earliest:
+            self._earliest, self.batting, self.bowling = seq, row["batting_team"], row["bowling_team"]
         self.balls[seq] = (row["over_no"], row["total_runs"] or 0, int(bool(row["is_legal"])), int(bool(row["is_wicket"])))
         return True
 
     def stored(self) -> tuple:
-        balls = sorted(self.balls.items())
-        columns = [[seq for seq, _ in balls], *([ball[i] for _, ball in balls] for i in range(4))]
-        return (sorted(self.first_seen), self.first_runs, *columns, self.batting, self.bowling)
+        balls = [(seq, *ball) for seq, ball in sorted(self.balls.items())]
+        return (json.dumps(sorted(self.first_seen)), self.first_runs, json.dumps(balls), self.batting, self.bowling)
 
     def last_open(self, match_id: int, ended: bool) -> Row:
         """The state after the last ball at which the chase is open; without one all is null."""
@@ -89,6 +97,13 @@ class Innings:
         return Row(**dict(zip(NAMES, (match_id, *row, ended))))
 
 
+def returned(row: Row) -> pd.DataFrame:
+    """A state as one row of RETURNED."""
+    import pandas as pd
+
+    return pd.DataFrame({"match_id": [row["match_id"]], "state": [json.dumps(row.asDict())]})
+
+
 class LiveChase(StatefulProcessor):
     """State handling of one contest; ``idle_ms`` of silence ends it."""
 
@@ -101,18 +116,19 @@ class LiveChase(StatefulProcessor):
         # A lifetime is only for processing time; with event time the watermark drops stragglers.
         self._ended = None if self._event_time else handle.getValueState("ended", "ended boolean", self._remembered_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self._ended is not None and self._ended.exists():
             return
         innings = Innings(self._state.get() if self._state.exists() else None)
         changed, heard = False, 0
-        for row in rows:
-            changed |= innings.add(row)
-            if self._event_time:
-                heard = max(heard, int(row[self._event_time].timestamp() * 1000))
+        for some in rows:
+            for ball in json.loads(f"[{','.join(some[BALL_TEXT].tolist())}]"):
+                changed |= innings.add(ball)
+                if self._event_time:
+                    heard = max(heard, ball[HEARD])
         if changed:
             self._state.update(innings.stored())
-            yield innings.last_open(key[0], False)
+            yield returned(innings.last_open(int(key[0]), False))
         end = self._idle_ms + (heard if self._event_time else timerValues.getCurrentProcessingTimeInMs())
         timers = list(self._handle.listTimers())
         if all(timer < end for timer in timers):
@@ -120,9 +136,9 @@ class LiveChase(StatefulProcessor):
                 self._handle.deleteTimer(timer)
             self._handle.registerTimer(end)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self._state.exists():
-            yield Innings(self._state.get()).last_open(key[0], True)
+            yield returned(Innings(self._state.get()).last_open(int(key[0]), True))
             self._state.clear()
         if self._ended is not None:
             self._ended.update((True,))
@@ -143,14 +159,21 @@ def chase_states(
     """
     spark = events.sparkSession
     ship_package(spark)
-    balls = events.select(*BALL).where(F.col("match_id").isNotNull()) if event_time is None else (
-        events.select(*BALL, event_time).where(F.col("match_id").isNotNull() & F.col(event_time).isNotNull()))
+    # The engine drops late balls by the event time itself, so it stays a column.
+    known = events.where(F.col("match_id").isNotNull())
+    timed, heard = [], []
+    if event_time:
+        known = known.where(F.col(event_time).isNotNull())
+        timed, heard = [event_time], [F.unix_millis(event_time).alias(HEARD)]
+    text = F.to_json(F.struct(*BALL[1:], *heard), {"ignoreNullFields": "false"})
+    balls = known.select(F.col("match_id").cast("long").alias("match_id"), *timed, text.alias(BALL_TEXT))
     if event_time:
         balls = balls.withWatermark(event_time, late)
     processor = LiveChase(
         int(idle.total_seconds() * 1000), event_time, int(remembered.total_seconds() * 1000))
-    return balls.withColumn("match_id", F.col("match_id").cast("long")).groupBy("match_id").transformWithState(
-        processor, OUTPUT, "Update", "EventTime" if event_time else "ProcessingTime")
+    states = balls.groupBy("match_id").transformWithStateInPandas(
+        processor, RETURNED, "Update", "EventTime" if event_time else "ProcessingTime")
+    return states.select(F.from_json("state", OUTPUT).alias("state")).select("state.*")
 
 
 def live_features(states: DataFrame, contests: DataFrame, digits: int | None = 3) -> DataFrame:

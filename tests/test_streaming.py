@@ -125,3 +125,59 @@ def test_a_part_of_the_arrivals_has_files_by_its_rows(spark, sf_dir, monkeypatch
     found = {(r.match_id, r.innings_no): tuple(r) for r in stream_queries._z2(spark, sf_dir).collect()}
     files = spark.read.parquet(stream_queries._folder(spark) + "/arrivals").inputFiles()
     assert len(files) > 8 and found == few
+
+
+class _Kept:
+    """A value of the state, or its handle with timers, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        assert not any(isinstance(v, (list, tuple)) for v in value)  # each list would be converted value by value
+        self.value = value
+
+    def getValueState(self, *_):
+        return self
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_balls_and_states_are_one_text_each():
+    import json
+
+    import pandas as pd
+
+    kept, processor = _Kept(), chase.LiveChase(1000, "event_time", 0)
+    processor.init(kept)
+    first = [ball(1, k, 2) for k in range(1, 31)]
+    second = [ball(2, k, None if k == 4 else k % 2, k == 7) for k in range(1, 21)]
+    sent = [*second[10:], *first, *second[:10], *second[5:15]]
+
+    def frames(some, at):
+        texts = [json.dumps({**b.asDict(), chase.HEARD: at + i}) for i, b in enumerate(some)]
+        return iter([pd.DataFrame({"match_id": 1, chase.BALL_TEXT: texts[k : k + 9]}) for k in range(0, len(texts), 9)])
+
+    found = [json.loads(f["state"][0]) for f in processor.handleInputRows((1,), frames(sent[:25], 100), None)]
+    assert kept.timers == {1124} and len(found) == 1
+    found = [json.loads(f["state"][0]) for f in processor.handleInputRows((1,), frames(sent[25:], 500), None)]
+    assert kept.timers == {1534} and len(found) == 1
+    expected = walked([Row(**{**b.asDict(), "total_runs": b.total_runs or 0}) for b in second], 61)
+    state = found[0]
+    assert (state["ball_seq"], state["current_runs"], state["wickets_fallen"], state["balls_bowled"],
+            state["runs_last_5_overs"], state["wickets_last_5_overs"]) == expected
+    assert (state["match_id"], state["target"], state["batting_team"], state["is_ended"]) == (1, 61, "B", False)
+    assert [*processor.handleInputRows((1,), frames(sent, 200), None)] == [] and kept.timers == {1534}
