@@ -181,3 +181,22 @@ def test_balls_and_states_are_one_text_each():
             state["runs_last_5_overs"], state["wickets_last_5_overs"]) == expected
     assert (state["match_id"], state["target"], state["batting_team"], state["is_ended"]) == (1, 61, "B", False)
     assert [*processor.handleInputRows((1,), frames(sent, 200), None)] == [] and kept.timers == {1534}
+
+
+def test_the_keys_of_the_scoreboard_stay_on_disk(spark, monkeypatch):
+    from oracles import stream_queries
+
+    names = [f"spark.sql.streaming.stateStore.{name}" for name in ("providerClass", "rocksdb.boundedMemoryUsage")]
+    before, seen = [spark.conf.get(name, None) for name in names], []
+
+    class Query:
+        def awaitTermination(self):
+            seen.append([spark.conf.get(name, None) for name in names])
+
+    monkeypatch.setattr(stream_queries, "_arrivals", lambda *_: None)
+    monkeypatch.setattr(stream_queries.live, "scoreboard", lambda *_: None)
+    monkeypatch.setattr(stream_queries.live, "publish", lambda *_: Query())
+    monkeypatch.setattr(stream_queries.live, "latest", lambda *_: None)
+    stream_queries._z2(spark, "")
+    assert seen == [[chase.STORE, "true"]]
+    assert [spark.conf.get(name, None) for name in names] == before
