@@ -423,3 +423,22 @@ def test_children_with_copies_are_made_once(spark, sf_dir):
     table = entry.queries()["q15_dedupe_children"](spark, sf_dir)
     folders = {part for f in table.inputFiles() for part in f.split("/") if part.startswith("shared-")}
     assert len(folders) == 7
+
+
+def test_names_of_a_load_read_every_table_once(spark, tmp_path):
+    from scorebook.plans import load
+
+    spark.createDataFrame(
+        [(1, "A", "p1", "p2"), (2, "B", "p2", None), (3, None, "A", "")], "match_id long, team string, player string, bowler string"
+    ).write.parquet(f"{tmp_path}/cards")
+    cards = spark.read.parquet(f"{tmp_path}/cards")
+    contests = spark.createDataFrame([("A", "C", None)], "team1 string, team2 string, player_of_match string")
+    found = load._names([
+        (cards, {"side": ["team", "absent"], "actor": ["player", "bowler"]}),
+        (contests, {"side": ["team1", "team2"], "actor": ["player_of_match"]}),
+    ])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {
+        ("side", "A"), ("side", "B"), ("side", "C"), ("side", None),
+        ("actor", "p1"), ("actor", "p2"), ("actor", "A"), ("actor", ""), ("actor", None)}
